@@ -105,19 +105,19 @@ def pack(sizes: DataFrame, capacity: int = 2048, weights: dict[str, float] | Non
     state = sent.withColumn("earlier", F.coalesce(F.sum("sent").over(before), F.lit(0))).join(by_source, "source")
     state = state.select("shard", "source", share.alias("share"), (share * F.lit(total / shards) * F.col("shard") - F.col("earlier")).alias("credit"))
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         queues: dict[str, list[tuple[int, int]]] = {}
-        left = left.sort_values(["doc_id", "piece_no"], kind="stable").reset_index(drop=True)
-        for k, (s, n) in enumerate(zip(left["source"], left["n_tokens"], strict=True)):
+        df = df.sort_values(["doc_id", "piece_no"], kind="stable").reset_index(drop=True)
+        for k, (s, n) in enumerate(zip(df["source"], df["n_tokens"], strict=True)):
             queues.setdefault(s, []).append((int(n), k))
-        shares, credits = dict(zip(right["source"], right["share"], strict=True)), dict(zip(right["source"], right["credit"], strict=True))
-        place: list[str | None] = [None] * len(left)
+        shares, credits = dict(zip(df["source"], df["share"], strict=True)), dict(zip(df["source"], df["credit"], strict=True))
+        place: list[str | None] = [None] * len(df)
         for c, box in enumerate(round_robin(queues, capacity, shares, credits)):
             for k in box:
                 place[k] = f"s-{key[0]}-{c}"
-        return left.assign(container=place)[["doc_id", "piece_no", "source", "token_start", "n_tokens", "container"]]
+        return df.assign(container=place)[["doc_id", "piece_no", "source", "token_start", "n_tokens", "container"]]
 
-    packed = items.groupBy("shard").cogroup(checkpoint(state).groupBy("shard")).applyInPandas(run, _PLACED)
+    packed = items.join(checkpoint(state), ["shard", "source"]).groupBy("shard").applyInPandas(run, _PLACED)
     return done.select("doc_id", "piece_no", "source", "token_start", "n_tokens", "container").unionByName(packed)
 
 
