@@ -78,16 +78,16 @@ def budgeted(rows: DataFrame, group: str, cost: Column, tie: list[Column], budge
     walks over is bounded whatever the size of the group. The first row is picked even if it is too
     large; ``most`` rows at most are picked.
     """
-    order = Window.partitionBy(group, "cost").orderBy(*tie)
-    kept = rows.withColumn("cost", cost.cast("int")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
-    place = kept.withColumn("ord", F.row_number().over(Window.partitionBy(group).orderBy(*tie)))
-    lists = place.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("ord", "cost"))).alias("list"))
+    order = Window.partitionBy(group, "_cost").orderBy(*tie)
+    kept = rows.withColumn("_cost", cost.cast("int")).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
+    place = kept.withColumn("_ord", F.row_number().over(Window.partitionBy(group).orderBy(*tie)))
+    lists = place.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_ord", "_cost"))).alias("_list"))
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("picked"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = (acc["n"] < most) & ((acc["n"] == 0) | (acc["used"] + x["cost"] <= budget))
-        grown = F.struct((acc["used"] + x["cost"]).alias("used"), (acc["n"] + 1).alias("n"), F.concat(acc["picked"], F.array(x["ord"])).alias("picked"))
+        fits = (acc["n"] < most) & ((acc["n"] == 0) | (acc["used"] + x["_cost"] <= budget))
+        grown = F.struct((acc["used"] + x["_cost"]).alias("used"), (acc["n"] + 1).alias("n"), F.concat(acc["picked"], F.array(x["_ord"])).alias("picked"))
         return F.when(fits, grown).otherwise(acc)
 
-    picked = lists.select(group, F.explode(F.aggregate("list", start, step)["picked"]).alias("ord"))
-    return place.join(picked, [group, "ord"], "left_semi").drop("k")
+    picked = lists.select(group, F.explode(F.aggregate("_list", start, step)["picked"]).alias("_ord"))
+    return place.join(picked, [group, "_ord"], "left_semi").drop("_k", "_ord", "_cost")
