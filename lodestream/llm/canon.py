@@ -322,7 +322,7 @@ def map_values(values: DataFrame, entities: DataFrame, least: float = 0.8, many:
 
 
 def typed_values(edges: DataFrame, layout: DataFrame) -> DataFrame:
-    """place, row_id, value of the free-typed names of edges and layout nodes."""
+    """place, row_id, value of the free-typed names of edges and layout nodes; null and blank names are left out."""
     filled = lambda c: F.length(F.regexp_replace(c, r"(?U)[\s\p{Cf}]+", "")) > 0
     at_source = edges.where(F.col("relation").isin("HAS_PROPERTY", "HAS_VALUE") & filled("source")).select(F.lit("edge_source").alias("place"), F.col("edge_id").alias("row_id"), F.col("source").alias("value"))
     at_target = edges.where(F.col("relation").isin("USES_MATERIAL", "USES_METHOD", "MEASURES_METRIC", "HAS_PROPERTY") & filled("target")).select(F.lit("edge_target").alias("place"), F.col("edge_id").alias("row_id"), F.col("target").alias("value"))

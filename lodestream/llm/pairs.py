@@ -231,20 +231,21 @@ def pair_defects(examples: DataFrame) -> DataFrame:
 
     A null evaluator, arguments that are no JSON object and a missing gold value are empty
     responses; a null question can't be copied and has no language; repeated examples count each.
-    Values that are no text (numbers, booleans, filled lists) have no defect of text.
+    Values that are no text (numbers, booleans, filled lists) have no defect of text; a row without an
+    id has no result.
     """
     kwargs = F.col("evaluator.eval_kwargs")
     text = F.coalesce(F.get_json_object(kwargs, "$.gold"), F.get_json_object(kwargs, "$.reference_answer"))
     rows = examples.select("qa_id", "question", "answer_format", kwargs.alias("kwargs"), text.alias("response"))
     stats = abrupt_endings(rows.select("response"))
-    rows = rows.join(stats.withColumn("stat", F.lit(True)), "response", "left")
+    rows = rows.join(stats.withColumn("stat", F.lit(True)), "response", "left").withColumn("stat", F.coalesce("stat", F.lit(False))).where(F.col("qa_id").isNotNull())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             got = [
                 (i, d)
                 for i, q, f, k, s in zip(df["qa_id"], df["question"], df["answer_format"], df["kwargs"], df["stat"], strict=True)
-                if (d := defects_of(q, f, response_of(k), s is True))
+                if (d := defects_of(q, f, response_of(k), bool(s)))
             ]
             yield pd.DataFrame(got, columns=["qa_id", "defects"])
 

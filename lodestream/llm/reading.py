@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, list_siz
 def reading_levels(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, list_size: int = 30_000) -> DataFrame:
     """doc_id, level (1 to 4) of every document with at least 30 words of English prose.
 
-    Null, empty and white texts, other languages, number dumps and stubs have no row; repeated
+    Null, empty and white texts, rows without an id, other languages, number dumps and stubs have no row; repeated
     documents have one each; without any label the result is empty.
     """
     model = train(docs, labels, max_labels, list_size)
@@ -241,5 +241,5 @@ def reading_levels(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000,
                     got.append((i, model.level(s)))
             yield pd.DataFrame(got, columns=["doc_id", "level"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where((F.length("text") > 0) & F.col("doc_id").isNotNull())
     return texts.mapInPandas(run, "doc_id bigint, level bigint")

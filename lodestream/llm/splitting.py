@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 LEVELS = ("paragraph", "sentence", "word", "char")
 PENALTY = (0.0, 0.05, 0.4, 2.0)
 _EOL = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
-_PARAGRAPH = re.compile(rf"[^\S\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*{_EOL}[^\S\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*{_EOL}\s*")
+_PARAGRAPH = re.compile(rf"{_EOL}[^\S\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*{_EOL}\s*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _WORD = re.compile(r"\s+")
 _PATTERNS = (_PARAGRAPH, _SENTENCE, _WORD)
@@ -44,8 +44,8 @@ def boundaries(text: str, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which the text may be cut, and their levels.
 
     Finer levels are opened only where the coarser ones leave a stretch longer than half of
-    ``reach``, so that short units don't swell the programme; inside a word every 32nd place and
-    the last reachable one count, which keeps any text splittable.
+    ``reach``, so that short units don't swell the programme; inside a word every 32nd place counts,
+    which keeps any text splittable.
     """
     n = len(text)
     level_of: dict[int, int] = {}
@@ -58,8 +58,9 @@ def boundaries(text: str, reach: int) -> tuple[np.ndarray, np.ndarray]:
                 level_of.setdefault(p, level)
             nxt += [(x, y) for x, y in zip([a, *at], [*at, b], strict=True) if y - x > reach // 2]
         ends = nxt
+    step = max(1, min(32, reach // 4))
     for a, b in ends:
-        for p in range(a + 32, b, 32):
+        for p in range(a + step, b, step):
             level_of.setdefault(p, 3)
     pos = np.array(sorted(level_of), dtype=np.int64)
     return pos, np.array([level_of[p] for p in pos.tolist()], dtype=np.int64)
