@@ -16,12 +16,12 @@ def json_object(c: Column) -> Column:
 
 def list_items(c: Column) -> Column:
     """Terms of "- term" lines."""
-    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?m)^\s*[-*]\s+(.+?)\s*$"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?m)^\s*[-*]\s+(.+?)\s*$"), F.lit(1)), lambda x: F.trim(x))
 
 
 def triples(c: Column) -> Column:
     """(subject, relation, object) of "- a > r > b" lines of exactly three parts."""
-    parts = F.transform(list_items(c), lambda x: F.transform(F.split(x, ">"), F.trim))
+    parts = F.transform(list_items(c), lambda x: F.transform(F.split(x, ">"), lambda y: F.trim(y)))
     whole = F.filter(parts, lambda p: F.size(p) == 3)
     return F.transform(whole, lambda p: F.struct(p[0].alias("subject"), p[1].alias("relation"), p[2].alias("object")))
 

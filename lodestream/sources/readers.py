@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def paper_of(path):
     """Paper id of a file: its name without a known ending, cut at ".processed."."""
     name = F.element_at(F.split(path, "/"), -1)
     for e in ENDINGS:
-        name = F.when(name.endswith(e), F.substring(name, F.lit(1), F.length(name) - len(e))).otherwise(name)
+        name = F.regexp_replace(name, re.escape(e) + "$", "")
     return F.split(name, r"\.processed\.")[0]
 
 

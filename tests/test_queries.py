@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_module
@@ -22,7 +23,7 @@ def duck():
 def plain(df):
     out = []
     for r in df[sorted(df.columns)].itertuples(index=False, name=None):
-        out.append(tuple("" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r))
+        out.append(tuple("" if pd.api.types.is_scalar(v) and pd.isna(v) else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r))
     return sorted(out)
 
 
