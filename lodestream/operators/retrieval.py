@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import scoring, text
+from lodestream.session import spread
 
 
 def _frequency(token: str) -> Column:
@@ -23,8 +24,7 @@ def bm25(docs: DataFrame, id_col: str, content: Column, query: list[str]) -> Dat
     repeatedly; an empty query scores 0 everywhere.
     """
     terms = Counter(query)
-    toks = text.tokens_a(content)
-    held = docs.select(F.col(id_col), toks.alias("toks")).select(id_col, F.size("toks").alias("len"), *(_frequency(q).alias(f"tf{k}") for k, q in enumerate(terms)))
+    held = spread(docs.select(F.col(id_col), content.alias("body"))).select(F.col(id_col), text.tokens_a(F.col("body")).alias("toks")).select(id_col, F.size("toks").alias("len"), *(_frequency(q).alias(f"tf{k}") for k, q in enumerate(terms)))
     sums = held.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *(F.sum((F.col(f"tf{k}") > 0).cast("int")).alias(f"df{k}") for k in range(len(terms)))).first()
     score = F.lit(0.0)
     for k, times in enumerate(terms.values()):
@@ -34,7 +34,7 @@ def bm25(docs: DataFrame, id_col: str, content: Column, query: list[str]) -> Dat
 
 def bm25_okapi(docs: DataFrame, id_col: str, content: Column, query: list[str]) -> DataFrame:
     """id and score by the Okapi variant: idf = ln(N - df + .5) - ln(df + .5), negative ones a quarter of the mean idf."""
-    rows = docs.select(F.col(id_col), text.tokens_c(content).alias("toks")).withColumn("toks", F.when(F.size("toks") == 0, F.array(F.lit("_empty_"))).otherwise(F.col("toks")))
+    rows = spread(docs.select(F.col(id_col), content.alias("body"))).select(F.col(id_col), text.tokens_c(F.col("body")).alias("toks")).withColumn("toks", F.when(F.size("toks") == 0, F.array(F.lit("_empty_"))).otherwise(F.col("toks")))
     df = rows.select(F.explode(F.array_distinct("toks")).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     n, mean = rows.agg(F.count(F.lit(1)), F.avg(F.size("toks"))).first()
     idf = F.log(F.lit(float(n or 0)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
