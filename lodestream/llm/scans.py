@@ -213,11 +213,26 @@ def find_noise(sections: DataFrame, id_col: str = "section_id", text_col: str =
     and empty contents and rows without an id have none; repeated sections are treated each; other
     columns are ignored.
     ``common`` bounds the list of most frequent words that is sent to the tasks to spare the
-    shuffle rows that can't be misread; it changes no result. ``ratio`` and ``least``: a word is
-    misread if the word it may stand for is in at least ``least`` and ``ratio`` times as many sections.
+    shuffle rows that can't be misread; it changes no result, as frequent words that turn into a
+    word ``ratio`` times as frequent are not on the list. ``ratio`` and ``least``: a word is misread
+    if the word it may stand for is in at least ``least`` and ``ratio`` times as many sections.
     """
     vocab = checkpoint(vocabulary(sections, id_col, text_col))
-    frequent = frozenset(r[0] for r in vocab.where(F.col("df") > least * ratio).orderBy(F.desc("df"), "word").limit(common).collect())
+    known = vocab.select(F.col("word").alias("fixed"), F.col("df").alias("fixed_df"))
+
+    def undo(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            got = [(w, n, u) for w, n in zip(df["word"], df["n"], strict=True) for u in undone(w)]
+            yield pd.DataFrame(got, columns=["word", "n", "fixed"])
+
+    def meant(words: DataFrame) -> DataFrame:
+        """word, n, fixed, fixed_df of the words (word, n) that are misread."""
+        tried = words.mapInPandas(undo, "word string, n bigint, fixed string").join(known, "fixed")
+        return tried.where((F.col("fixed_df") >= least) & (F.col("fixed_df") >= ratio * F.col("n")))
+
+    often = vocab.where(F.col("df") > least * ratio)
+    often = often.join(meant(often.select("word", F.col("df").alias("n"))).select("word"), "word", "left_anti")
+    frequent = frozenset(r[0] for r in often.orderBy(F.desc("df"), "word").limit(common).collect())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
@@ -247,12 +262,6 @@ def find_noise(sections: DataFrame, id_col: str = "section_id", text_col: str =
 
     signs = checkpoint(_sections(sections, id_col, text_col).mapInPandas(run, _SIGNS))
 
-    def undo(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            got = [(w, n, u) for w, n in zip(df["word"], df["n"], strict=True) for u in undone(w)]
-            yield pd.DataFrame(got, columns=["word", "n", "fixed"])
-
-    known = vocab.select(F.col("word").alias("fixed"), F.col("df").alias("fixed_df"))
     # Words cut at a line end: which of joined word and compound does the corpus know better?
     pairs = signs.where("kind = 'split'").select("a", "b").distinct().select("a", "b", F.concat("a", "b").alias("joined"), F.concat_ws("-", "a", "b").alias("compound"))
     count = lambda name: vocab.select(F.col("word").alias(name), F.col("df").alias(f"n_{name}"))
@@ -261,9 +270,7 @@ def find_noise(sections: DataFrame, id_col: str = "section_id", text_col: str =
     # Misread words, rare ones of the lines and unknown joined ones alike.
     odd = signs.where("kind = 'word'").select(F.col("a").alias("word")).distinct().join(vocab, "word").select("word", F.col("df").alias("n"))
     odd = odd.unionByName(pairs.where("n_joined < n_compound + 2").select(F.col("joined").alias("word"), F.col("n_joined").alias("n")).distinct())
-    tried = odd.mapInPandas(undo, "word string, n bigint, fixed string").join(known, "fixed")
-    tried = tried.where((F.col("fixed_df") >= least) & (F.col("fixed_df") >= ratio * F.col("n")))
-    misread = checkpoint(tried.groupBy("word").agg(F.max_by("fixed", F.struct("fixed_df", "fixed")).alias("fixed")))
+    misread = checkpoint(meant(odd).groupBy("word").agg(F.max_by("fixed", F.struct("fixed_df", "fixed")).alias("fixed")))
     words = signs.where("kind = 'word'").join(misread, F.col("a") == F.col("word")).select("section_id", F.lit("ocr_char").alias("kind"), "line", "a", F.col("fixed").alias("b"), "at")
     judged = pairs.join(misread.withColumnRenamed("word", "joined"), "joined", "left")
     cut = (F.col("n_joined") > F.col("n_compound")) | ((F.col("n_compound") == 0) & (F.col("fixed").isNotNull() | ~((F.col("n_a") >= least) & (F.col("n_b") >= least))))

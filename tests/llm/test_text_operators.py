@@ -80,6 +80,12 @@ def test_scan_noise(spark):
 LEVEL = {1: ["The magnet can pull the big red key.", "We put it on the desk."], 2: ["The company wants to sell a cheaper motor before the end of the year.", "Makers say the price of the metal has gone up again."], 3: ["The average grain size is estimated from the width of the diffraction peak.", "The curve is fitted with a straight line in the linear region."], 4: ["Magnetocrystalline anisotropy renormalises the interfacial exchange stiffness.", "Deconvolution of hyperfine distributions corroborates sublattice canting."]}
 
 
+def test_misread_words_of_large_tables(spark):
+    data = [(k, "the magnctic moment" if k < 105 else "the magnetic moment") for k in range(2205)]
+    noise = scans.find_noise(spark.createDataFrame(data, "section_id bigint, content string"))
+    assert {(r.section_id, r.kind, r.a, r.b) for r in noise.collect()} == {(k, "ocr_char", "magnctic", "magnetic") for k in range(105)}
+
+
 def test_reading_levels(spark):
     r = random.Random(4)
     docs, labels = [], []
