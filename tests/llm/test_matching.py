@@ -68,6 +68,20 @@ def test_copies_and_hot_blocks(spark):
     assert {(a, b) for a, b in got if b < 100} == {(a, b) for a, b in itertools.combinations(range(40), 2) if (a + b) % 2}
 
 
+def test_large_blocks_are_split_or_compared_whole(spark):
+    shape = "node bigint, words array<string>, cut boolean, main int, names array<string>, doi string"
+    word = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
+    common = ["alpha", "beta", "gamma"]
+    # no authors, no DOI; a title of words held by two nodes far apart by id stands in a large block
+    data = [(k, [*common, f"d{word(k % 100)}", f"e{word(k % 100)}", f"f{word(k)}"], False, 3, [], "") for k in range(200)]
+    got = {(r.a, r.b) for r in linkage.candidates(spark.createDataFrame(data, shape), block=8).collect()}
+    assert {(k, k + 100) for k in range(100)} <= got
+    # nothing tells these apart: each meets each, in cells
+    data = [(k, common, False, 3, [], "") for k in range(90)]
+    got = sorted((r.a, r.b) for r in linkage.candidates(spark.createDataFrame(data, shape), block=8, least=0.0).collect())
+    assert got == list(itertools.combinations(range(90), 2))
+
+
 def test_queries_run_and_agree(spark, data):
     import duckdb
 
