@@ -78,10 +78,18 @@ def test_large_blocks_are_split_or_compared_whole(spark):
     assert {(k, k + 100) for k in range(100)} <= got
     # nothing tells these apart: each meets each, in cells
     data = [(k, common, False, 3, [], "") for k in range(90)]
-    got = sorted((r.a, r.b) for r in linkage.candidates(spark.createDataFrame(data, shape), block=8, least=0.0).collect())
+    got = sorted((r.a, r.b) for r in linkage.candidates(spark.createDataFrame(data, shape), block=8).collect())
     assert got == list(itertools.combinations(range(90), 2))
 
 
+def test_weight_has_no_absolute_cut(spark):
+    shape = "node bigint, words array<string>, cut boolean, main int, names array<string>, doi string"
+    # one shared attribute in a block of 40
+    data = [(k, [], False, 0, ["kelavar", "gryo"], "") for k in range(40)]
+    graph = linkage.pruned(linkage.candidates(spark.createDataFrame(data, shape)))
+    assert graph.count() == 40 * 39 // 2
+
+
 def test_queries_run_and_agree(spark, data):
     import duckdb
 
