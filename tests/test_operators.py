@@ -51,6 +51,13 @@ def test_label_propagation():
     assert got["a"] == got["b"] and got["c"] == got["d"] and got["a"] != got["c"] and edges.propagate_labels([]) == {}
 
 
+def test_labels_of_a_large_group(spark):
+    links = [("a", "b", 3.0), ("b", "c", 1.0), ("c", "d", 3.0), ("x", "y", 1.0), ("z", "z", 1.0)]
+    df = spark.createDataFrame([("g", *x) for a, b, w in links for x in {(a, b, w), (b, a, w)}] + [("h", "a", "b", 1.0), ("h", "b", "a", 1.0)], "grp string, a string, b string, weight double")
+    got = rows(edges.communities(df, largest=2))
+    assert got == rows(edges.communities(df)) and len({c for g, n, c in got if g == "g" and n in "abcd"}) == 2
+
+
 def test_components_of_a_long_chain(spark):
     links = [("g", f"n{k:03}", f"n{k + 1:03}") for k in range(150)] + [("g", "z1", "z2"), ("h", "n000", "n000")]
     got = rows(edges.components(spark.createDataFrame(links, "grp string, a string, b string")))
