@@ -17,9 +17,11 @@ from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.session import checkpoint
+
 # ---- fixed values: physical conversion factors to the common units of quantity_unit ----
 MU0 = 4e-7 * math.pi
 A_PER_M_PER_OE = 1000 / (4 * math.pi)
@@ -307,21 +309,17 @@ def caption_unit(caption: str | None, column: str) -> tuple[Unit, float] | None:
 _MENTION = re.compile(r"(?:\b(?:in|reports?|units?(?: of)?|reads?|as)\b|[(\[:])\s*(?:the\s)?(?P<u>\S.*)")
 
 
-def sentence_unit(sentence: str | None, value: float) -> tuple[Unit, int] | None:
-    """The unit a sentence gives for ``value``: beside the same number, or as "in U" or "reports U"."""
+def sentence_units(sentence: str | None, value: float) -> list[tuple[Unit, int]]:
+    """The units a sentence gives for ``value``: beside the same number (1), then as "in U" or "reports U" (2)."""
     if not sentence:
-        return None
-    found = readings(sentence)
-    same = [r for r in found if r.value == value]
-    for r in same:
-        if r.unit:
-            return r.unit, 1
+        return []
+    out = [(r.unit, 1) for r in readings(sentence) if r.value == value and r.unit]
     pos = 0
     while m := _MENTION.search(sentence, pos):
         if (u := _UNIT.match(sentence, m.start("u"))) and (unit := to_unit(u)):
-            return unit, 2
+            out.append((unit, 2))
         pos = m.start() + 1
-    return None
+    return list({u: (u, d) for u, d in reversed(out)}.values())[::-1]
 
 
 # ---------------------------------------------------------------- the hidden Markov model
@@ -400,7 +398,7 @@ def table_readings(record_id: int, caption: str | None, columns: Sequence[str] |
         outer: list[Evidence] = []
         if u := column_unit(col):
             outer.append(Evidence(*u, 1))
-        elif u := caption_unit(caption, col):
+        if (u := caption_unit(caption, col)) and (not outer or u[0].quantity == outer[0].unit.quantity):
             outer.append(Evidence(*u, 3))
         below: tuple[Unit, float] | None = next((c[col] for c in units_rows.values() if col in c), None)
         values, evidence, at = [], [], []
@@ -438,7 +436,7 @@ def table_readings(record_id: int, caption: str | None, columns: Sequence[str] |
 
 
 def statement_evidence(text: str | None, sentence: str | None, metadata: str | None) -> list[tuple[float, list[Evidence]]]:
-    """The numbers a statement gives and the units named for each, nearest first."""
+    """The numbers a statement gives and the units of one quantity named for each, nearest first."""
     if not text or not text.strip():
         return []
     text = spaced(text)
@@ -461,8 +459,8 @@ def statement_evidence(text: str | None, sentence: str | None, metadata: str | N
                     evidence.append(Evidence(*u, 1))
         except (ValueError, AttributeError):
             pass
-    if not evidence and (u := sentence_unit(sentence, r.value)):
-        evidence.append(Evidence(u[0], 1.0, 1 + u[1]))
+    evidence += [Evidence(u, 1.0, 1 + d) for u, d in sentence_units(sentence, r.value)]
+    evidence = [e for e in evidence if e.unit.quantity == evidence[0].unit.quantity]  # a device is one quantity
     return [(r.value, evidence)] if evidence else []
 
 
@@ -497,8 +495,9 @@ def decode_tables(tables: DataFrame, block_rows: int = 256) -> DataFrame:
 def decode_statements(edges: DataFrame, relations: Sequence[str] = ("HAS_VALUE", "HAS_CONDITION", "REPORTS_RESULT"), block: int = 4096) -> DataFrame:
     """Readings of the targets of edges: the device is a quantity of a paper, in the order of edge_id.
 
-    The chain of a device is cut at every ``block`` edge ids, so that no task gets an unbounded
-    group (one paper may hold a third of all edges). Null or blank targets and rows without an id
+    A device of more than ``block`` readings is cut into runs of so many consecutive ones, so that
+    no task gets an unbounded group (one paper may hold a third of all edges). They are counted by
+    ranges of edge ids, without a window over a whole device. Null or blank targets and rows without an id
     give no reading.
     """
     picked = edges.where(F.col("relation").isin(*relations) & F.col("edge_id").isNotNull()).select("edge_id", "paper_id", "target", "evidence_quote", "metadata")
@@ -514,7 +513,12 @@ def decode_statements(edges: DataFrame, relations: Sequence[str] = ("HAS_VALUE",
             yield pd.DataFrame(got, columns=["row_id", "n", "device", "value", "evidence"])
 
     seen = picked.mapInPandas(parse, "row_id bigint, n bigint, device string, value double, evidence string")
-    runs = seen.withColumn("block", F.floor(F.col("row_id") / block)).repartition("device", "block").sortWithinPartitions("device", "block", "row_id", "n")
+    seen = checkpoint(seen.withColumn("range", F.floor(F.col("row_id") / block)))
+    every = Window.partitionBy("device")
+    size = seen.groupBy("device", "range").agg(F.count(F.lit(1)).alias("held")).select("device", "range", F.sum("held").over(every).alias("all"), (F.sum("held").over(every.orderBy("range")) - F.col("held")).alias("before"))
+    placed = seen.join(size, ["device", "range"]).withColumn("k", F.row_number().over(Window.partitionBy("device", "range").orderBy("row_id", "n")))
+    number = F.when(F.col("all") <= block, 0).otherwise(F.floor((F.col("before") + F.col("k") - 1) / block))
+    runs = placed.select("row_id", "n", "device", "value", "evidence", number.cast("bigint").alias("block")).repartition("device", "block").sortWithinPartitions("device", "block", "row_id", "n")
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush(run: list[tuple]) -> list[tuple]:

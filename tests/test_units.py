@@ -74,3 +74,20 @@ def test_tables_and_edges(spark):
 def test_blocks_don_t_change_what_text_decides(spark):
     e = spark.createDataFrame([(k, "s", "HAS_VALUE", f"{k + 1} K" if k % 2 else f"{k + 1} °C", "p", None, None, "x") for k in range(200)], EDGE)
     assert rows(decode_statements(e, block=7)) == rows(decode_statements(e))
+
+
+def test_levels_decide_between_named_units(spark):
+    at = lambda k, target, quote=None, unit=None: (k, "s", "HAS_VALUE", target, "p", quote, f'{{"qualifiers": {{"unit": "{unit}"}}}}' if unit else None, "x")
+    # metadata says kPa, the sentence MPa, the readings before and after are MPa; ids lie in different ranges
+    e = spark.createDataFrame([at(1, "2 MPa"), at(50, "3", "the gauge reads MPa; it was 3", "kPa"), at(100, "2 MPa"), at(150, "4 kPa")], EDGE)
+    assert [x for *_, x, _ in sorted(map(tuple, decode_statements(e, block=10).select("row_id", "common", "named").collect()))] == [2000, 3000, 2000, 4]
+    assert len(statement_evidence("3", "given in kPa or in MPa: 3", None)[0][1]) == 2
+    t = spark.createDataFrame([(1, None, None, None, None, "T (P given in MPa)", None, [{"P": "2 MPa"}, {"P": "3"}, {"P": "2 MPa"}], None, None)], TABLE)
+    assert [r.common for r in decode_tables(t).orderBy("row_no").collect()] == [2000, 3000, 2000]
+    t = spark.createDataFrame([(1, None, None, None, None, "T (P [kPa] given in MPa)", None, [{"P [kPa]": "2 MPa"}, {"P [kPa]": "3"}, {"P [kPa]": "2 MPa"}], None, None)], TABLE)
+    assert [r.common for r in decode_tables(t).orderBy("row_no").collect()] == [2000, 3000, 2000]
+
+
+def test_runs_are_counted_per_device(spark):
+    e = spark.createDataFrame([(k, "s", "HAS_VALUE", f"{k + 1} K", f"p{k % 3}", None, None, "x") for k in range(200)], EDGE)
+    assert rows(decode_statements(e, block=7)) == rows(decode_statements(e)) and decode_statements(e, block=7).count() == 200
