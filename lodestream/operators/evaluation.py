@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions import scoring
+from lodestream.functions import evaluators, scoring
 from lodestream.session import checkpoint
 
 
@@ -23,6 +24,20 @@ def scored(examples: DataFrame) -> DataFrame:
     return examples.select("qa_id", name.alias("eval_func"), F.when(pred.isNotNull(), score).alias("score"))
 
 
+def scored_all(examples: DataFrame) -> DataFrame:
+    """qa_id, eval_func, score by all evaluators that need no model: those of ``scored`` and of ``evaluators``; others have null."""
+    held = examples.select("qa_id", F.col("evaluator.eval_func").alias("eval_func"), F.col("evaluator.eval_kwargs").alias("kw"), "answer")
+
+    def run(frames):
+        for df in frames:
+            got = [evaluators.evaluate(*x) for x in zip(df["eval_func"], df["kw"], df["answer"], strict=True)]
+            yield pd.DataFrame({"qa_id": df["qa_id"], "eval_func": df["eval_func"], "score": pd.Series(got, dtype="float64")})
+
+    python = F.col("evaluator.eval_func").isin(*evaluators.PYTHON)
+    deep = held.where(F.col("eval_func").isin(*evaluators.PYTHON)).mapInPandas(run, "qa_id bigint, eval_func string, score double")
+    return scored(examples.where(~F.coalesce(python, F.lit(False)))).unionByName(deep)
+
+
 def summary(scores: DataFrame) -> DataFrame:
     """Counts and mean score by evaluator and over all (null evaluator)."""
     return scores.rollup("eval_func").agg(F.count(F.lit(1)).alias("evaluated"), F.count("score").alias("scored"), F.round(F.avg("score"), 6).alias("mean_score"), F.grouping("eval_func").alias("total"))

@@ -344,6 +344,16 @@ def answer_scores(spark, d):
     return evaluation.scored(table(spark, d, "qa_example"))
 
 
+@_query
+def answer_scores_all(spark, d):
+    return evaluation.scored_all(table(spark, d, "qa_example"))
+
+
+@_query
+def evaluation_summary_all(spark, d):
+    return evaluation.summary(evaluation.scored_all(table(spark, d, "qa_example")))
+
+
 @_query
 def evaluation_summary(spark, d):
     return evaluation.summary(evaluation.scored(table(spark, d, "qa_example")))

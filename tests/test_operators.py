@@ -156,3 +156,16 @@ def test_similar_questions_are_exact(spark):
     for k, s in sets.items():
         near = {t for t in sets.values() if t != s and len(s & t) / len(s | t) >= 0.64}
         assert got[k][2] == len(near) and got[k][1] == min(i for i, t in sets.items() if t == s)
+
+
+def test_scores_of_lists_objects_and_logic(spark):
+    cases = [
+        ("eval_element_list_included", '{"gold": ["a", "b"]}', '["b"]', 1.0), ("eval_element_list_included", '{"gold": ["a", "b"]}', '["b", "c"]', 0.0), ("eval_element_list_overlap", '{"gold": ["a", "b"], "count": 2}', '["b", "b"]', 0.0),
+        ("eval_structured_object_exact_match", '{"gold": ["a", 2, 0.5]}', "['a', '2', 0.5]", 1.0), ("eval_structured_object_exact_match", '{"gold": ["a", "b"]}', '["b", "a"]', 0.0), ("eval_structured_object_exact_match", '{"gold": ["a", "b"], "ignore_order": true}', '["b", "a"]', 1.0),
+        ("eval_structured_object_exact_match", '{"gold": {"k": [1]}}', '{"k": [1]}', 1.0), ("eval_structured_object_exact_match", '{"gold": {"k": 1}}', "__import__('os')", 0.0), ("eval_structured_object_exact_match", "no json", "[1]", 0.0), ("eval_structured_object_exact_match", '{"gold": [1]}', None, None),
+        ("eval_string_fuzzy_match", '{"gold": "cobalt ferrite", "threshold": 90}', "cobalt ferite", 1.0), ("eval_string_fuzzy_match", '{"gold": "cobalt ferrite", "fuzz_method": "token_sort_ratio"}', "Ferrite, cobalt", 1.0), ("eval_paper_relevance_with_reference_answer", '{"question": "q", "reference_answer": ["x", "A Study"]}', "a study", 1.0),
+        ("eval_conjunction", '{"eval_func_list": ["eval_int_exact_match", "eval_bool_exact_match"], "eval_kwargs_list": [{"gold": 1}, {"gold": true}]}', "[1, 'yes']", 1.0), ("eval_disjunction", '{"eval_func_list": ["eval_int_exact_match"], "eval_kwargs_list": [{"gold": 1}]}', "[2]", 0.0),
+        ("eval_negation", '{"eval_func": "eval_string_exact_match", "eval_kwargs": {"gold": "x"}}', "y", 1.0), ("eval_negation", '{"eval_func": "eval_reference_answer_with_llm", "eval_kwargs": {}}', "y", None), ("eval_reference_answer_with_llm", "{}", "y", None), ("eval_int_exact_match", '{"gold": 26}', "26", 1.0), (None, None, "y", None),
+    ]
+    df = spark.createDataFrame([(k, (f, kw), a) for k, (f, kw, a, _) in enumerate(cases)], "qa_id bigint, evaluator struct<eval_func string, eval_kwargs string>, answer string")
+    assert {r.qa_id: r.score for r in evaluation.scored_all(df).collect()} == {k: c[3] for k, c in enumerate(cases)}
