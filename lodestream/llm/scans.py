@@ -3,8 +3,8 @@
 Three sources of evidence are gathered over all sections: how many sections hold a word, how many
 hold a short line (fuzzily: digits and characters that scanners confuse are folded), and how often
 such a line interrupts a sentence. Running heads are lines that repeat and whose words live only in
-them, or lines in the shape of a running head; page numbers are number lines beside prose or in a
-sequence. Words cut at a line end are joined if the corpus knows the joined word better than the
+them, or lines in the shape of a running head; page numbers are number lines beside prose.
+Words cut at a line end are joined if the corpus knows the joined word better than the
 compound; misread words are those that turn into a common word when one confusion is undone.
 """
 
