@@ -4,58 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import ClassVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-class _Links(HTMLParser):
-    def __init__(self):
-        super().__init__()
-        self.out: list[tuple[str, str]] = []
-        self.href, self.text = None, []
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "a":
-            self.href, self.text = dict(attrs).get("href") or "", []
-
-    def handle_data(self, data):
-        if self.href is not None:
-            self.text.append(data)
+class Page(HTMLParser):
+    """A page as its links and table rows, from one walk over the tags.
 
-    def handle_endtag(self, tag):
-        if tag == "a" and self.href is not None:
-            if self.href.strip():
-                self.out.append((self.href.strip(), " ".join("".join(self.text).split())))
-            self.href = None
+    Open elements of interest stand on a stack; text goes to all of them, so a link in a cell, or a
+    table in a cell, is read with the text around it. An element that ends closes what is open in it.
+    """
 
+    HELD = frozenset(("a", "table", "tr", "td", "th"))
+    #: What a new element ends where its end tag was left out.
+    ENDS: ClassVar[dict[str, tuple[str, ...]]] = {"a": ("a",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}
 
-class _Tables(HTMLParser):
-    def __init__(self):
+    def __init__(self, html: str | None):
         super().__init__()
+        self.links: list[tuple[str, str]] = []
         self.rows: list[list[str]] = []
-        self.row: list[str] | None = None
-        self.cell: list[str] | None = None
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.row = []
-        elif tag in ("td", "th") and self.row is not None:
-            self.cell = []
-
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
-
-    def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell is not None and self.row is not None:
-            self.row.append(" ".join("".join(self.cell).split()))
-            self.cell = None
-        elif tag == "tr" and self.row is not None:
-            if any(self.row):
-                self.rows.append(self.row)
-            self.row = None
+        self._open: list[tuple[str, str, list]] = []  # (tag, href, texts or cells)
+        self.feed(html or "")
+        self.close()
+
+    def _level(self, *tags: str) -> int | None:
+        """Where the innermost of the tags is open, within the innermost table."""
+        for k in reversed(range(len(self._open))):
+            if self._open[k][0] in tags:
+                return k
+            if self._open[k][0] == "table":
+                return None
+        return None
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in self.HELD:
+            if (k := self._level(*self.ENDS.get(tag, ()))) is not None:
+                self._finish(k)
+            self._open.append((tag, dict(attrs).get("href") or "", []))
+
+    def handle_data(self, data: str) -> None:
+        for tag, _, texts in self._open:
+            if tag in ("a", "td", "th"):
+                texts.append(data)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.HELD and (k := self._level(tag)) is not None:
+            self._finish(k)
+
+    def _finish(self, k: int) -> None:
+        while len(self._open) > k:
+            tag, href, held = self._open.pop()
+            if tag == "a" and href.strip():
+                self.links.append((href.strip(), " ".join("".join(held).split())))
+            elif tag in ("td", "th") and (row := self._level("tr")) is not None:
+                self._open[row][2].append(" ".join("".join(held).split()))
+            elif tag == "tr" and any(held):
+                self.rows.append(held)
 
 
 def links(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
@@ -65,9 +72,7 @@ def links(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
         for df in frames:
             got = []
             for i, html in zip(df["id"], df["html"], strict=True):
-                p = _Links()
-                p.feed(html or "")
-                got += [(i, *x) for x in p.out]
+                got += [(i, *x) for x in Page(html).links]
             yield pd.DataFrame(got, columns=["id", "href", "text"])
 
     return pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(html_col).alias("html")).mapInPandas(run, "id bigint, href string, text string").withColumnRenamed("id", id_col)
@@ -80,9 +85,7 @@ def tables(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
         for df in frames:
             got = []
             for i, html in zip(df["id"], df["html"], strict=True):
-                p = _Tables()
-                p.feed(html or "")
-                got += [(i, n, r) for n, r in enumerate(p.rows)]
+                got += [(i, n, r) for n, r in enumerate(Page(html).rows)]
             yield pd.DataFrame(got, columns=["id", "row_no", "cells"])
 
     return pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(html_col).alias("html")).mapInPandas(run, "id bigint, row_no int, cells array<string>").withColumnRenamed("id", id_col)

@@ -169,3 +169,23 @@ def test_scores_of_lists_objects_and_logic(spark):
     ]
     df = spark.createDataFrame([(k, (f, kw), a) for k, (f, kw, a, _) in enumerate(cases)], "qa_id bigint, evaluator struct<eval_func string, eval_kwargs string>, answer string")
     assert {r.qa_id: r.score for r in evaluation.scored_all(df).collect()} == {k: c[3] for k, c in enumerate(cases)}
+
+
+def test_pages_with_nested_and_unclosed_elements():
+    page = html.Page('<table><tr><td>a<td><a href=" u ">go <i>on</i></a> x<tr><th>h</th><td><table><tr><td>in</td></tr></table>out</td></tr><tr><td> </td></tr></table><a href="v">end')
+    assert page.rows == [["a", "go on x"], ["in"], ["h", "inout"]]
+    assert page.links == [("u", "go on")] and html.Page(None).rows == []
+
+
+def test_labels_are_a_fixed_point():
+    r = random.Random(5)
+    for _ in range(30):
+        w = {}
+        for _ in range(40):
+            a, b = r.sample("ABCDEabcdefgh", 2)
+            w[a, b] = w[b, a] = r.randrange(1, 9) / 2
+        label = edges.propagate_labels([(a, b, x) for (a, b), x in w.items()])
+        votes = {n: {} for n in label}
+        for (a, b), x in w.items():
+            votes[a][label[b]] = votes[a].get(label[b], 0) + x
+        assert all(label[n] == min(v, key=lambda k, v=v: (-v[k], k)) for n, v in votes.items())
