@@ -1,11 +1,18 @@
 """Quantities written in different units, decoded to one common unit.
 
-A *device* is a series of readings of one instrument or column. The unit of every reading is the
-hidden state of a Markov model: text evidence (the unit beside the number, in the column name, in
-a units row, in the caption or in the sentence) is the emission, and a switch of units costs a
-fixed amount plus the jump of the level it implies. ``viterbi_units`` finds the best state path.
-Where the text names the unit, the emission decides; where the text is ambiguous or silent, the
-level does. ``found_quantities`` reports only readings whose unit is named somewhere.
+A *device* is a series of readings of one column of a table, or of one quantity of a paper. The
+unit of every reading is the hidden state of a Markov model over all units named anywhere in the
+device: text evidence (the unit beside the number, in the column name, in a units row, in metadata,
+in the caption or in the sentence) is the emission, graded by how near it stands; a switch of units
+costs a fixed amount plus the jump of the log level it implies. ``viterbi_units`` finds the best
+state path of every device. Between several units named for a reading the level decides; a unit
+beside the number can't be outvoted, that of a caption can, if the level of its column is clear.
+The numbers of a paper are no such series (they come from many samples), so that a unit that its
+sentence names falls only to another one named there or in the metadata. ``found_quantities`` reports only readings whose unit is named somewhere.
+
+Costs are whole numbers, so that a long device may be cut into runs: each run is a (min, +) matrix
+over the states, the matrices are combined, and every run is decoded with the state its neighbours
+ask for. The path is that of the whole device, whatever the length of a run.
 """
 
 from __future__ import annotations
@@ -13,9 +20,10 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -325,51 +333,80 @@ def sentence_units(sentence: str | None, value: float) -> list[tuple[Unit, int]]
 # ---------------------------------------------------------------- the hidden Markov model
 
 
-def viterbi_units(values: Sequence[float], evidence: Sequence[Sequence[Evidence]], states: Sequence[tuple[Unit, float]] = (), switch: float = 2.0, spread: float = 0.75, far: float = 12.0) -> list[int]:
-    """Best unit of each reading of one device, as indices into ``states``.
+#: Cost of a state by the distance of the text that names it (beside, name of the column or metadata, units row or
+#: same number in a sentence, mention in a sentence, caption), in thousandths. Two jumps gain 16,000 at most: less than
+#: what lies between the unit beside a number and any other, less than what lies between a unit named in a sentence and
+#: one not named for the reading at all, more than what lies between the latter and a caption.
+NAMED = (0, 17_000, 18_000, 20_000, 26_000)
+UNNAMED = 38_000
+SWITCH, JUMP = 2_000, 8_000
+State = tuple[Unit, float]
+
+
+def states_of(evidence: Iterable[Sequence[Evidence]]) -> list[State]:
+    """All units named in a device, in a fixed order."""
+    return sorted({(e.unit, e.power) for es in evidence for e in es})
+
+
+def _costs(values: Sequence[float], evidence: Sequence[Sequence[Evidence]], states: Sequence[State], before: float | None = None, spread: float = 0.375) -> tuple[np.ndarray, np.ndarray]:
+    """(emissions [t, state], transitions [t, from, to]) of a run; ``before`` is the last value of the run before it."""
+    at = {s: k for k, s in enumerate(states)}
+    emission = np.zeros((len(values), len(states)), dtype=np.int64)
+    for t, es in enumerate(evidence):
+        if es:
+            emission[t] = UNNAMED
+            for e in es:
+                k = at[e.unit, e.power]
+                emission[t, k] = min(emission[t, k], NAMED[min(e.distance, len(NAMED) - 1)])
+    x = np.array([values[0] if before is None else before, *values], dtype=float)
+    common = np.abs(x[:, None] * [p * u.factor for u, p in states] + [u.offset for u, _ in states])
+    level = np.log10(np.where(common > 0, common, 1e-6))
+    jump = np.rint(np.minimum(np.abs(level[1:, None, :] - level[:-1, :, None]) / spread * 1000, JUMP)).astype(np.int64)
+    jump += SWITCH * (1 - np.eye(len(states), dtype=np.int64))
+    if before is None:
+        jump[0] = 0
+    return emission, jump
+
+
+def _path(emission: np.ndarray, jump: np.ndarray, start: np.ndarray, end: int | None = None) -> list[int]:
+    """The cheapest states of a run after costs ``start``, to ``end`` if given; of equal ones the first."""
+    best, back, every = start, [], np.arange(emission.shape[1])
+    for e, j in zip(emission, jump, strict=True):
+        cost = best[:, None] + j
+        come = cost.argmin(axis=0)
+        back.append(come)
+        best = cost[come, every] + e
+    k = int(best.argmin()) if end is None else end
+    path = [k]
+    for come in reversed(back[1:]):
+        path.append(k := int(come[k]))
+    return path[::-1]
+
+
+def run_matrix(emission: np.ndarray, jump: np.ndarray) -> np.ndarray:
+    """[from, to]: least cost from a state before a run to a state at its end."""
+    out = jump[0] + emission[0]
+    for e, j in zip(emission[1:], jump[1:], strict=True):
+        out = (out[:, :, None] + j).min(axis=1) + e
+    return out
 
-    Emission: a state named by the text costs its distance, one the text doesn't name costs ``far``
-    more (nothing where the text is silent). Transition: ``switch`` for another unit, plus the jump
-    of the common log value over ``spread`` decades, at most ``far`` / 2 so that one outlier can't
-    outweigh the text. Ties go to the first state. An empty series gives an empty list.
+
+def viterbi_units(values: Sequence[float], evidence: Sequence[Sequence[Evidence]], states: Sequence[State] = ()) -> list[int]:
+    """Best unit of each reading of one device, as indices into ``states`` (by default all that are named).
+
+    Ties go to the first state. An empty series gives an empty list, one without any unit -1.
     """
-    states = list(states) or list(dict.fromkeys((e.unit, e.power) for es in evidence for e in es))
+    states = list(states) or states_of(evidence)
     if not values or not states:
         return [-1] * len(values)
+    if len(states) == 1:
+        return [0] * len(values)
+    return _path(*_costs(values, evidence, states), np.zeros(len(states), dtype=np.int64))
 
-    def level(x: float, k: int) -> float:
-        unit, power = states[k]
-        y = x * power * unit.factor + unit.offset
-        return math.log10(abs(y)) if y else -6.0
-
-    def emit(t: int) -> list[float]:
-        named: dict[tuple[Unit, float], float] = {}
-        for e in evidence[t]:
-            named[(e.unit, e.power)] = min(named.get((e.unit, e.power), 1e9), float(e.distance))
-        return [named.get(s, far * 2 if named else 0.0) for s in states]
-
-    best, back = emit(0), []
-    levels = [level(values[0], k) for k in range(len(states))]
-    for t in range(1, len(values)):
-        now, e, row, come = [level(values[t], k) for k in range(len(states))], emit(t), [], []
-        for k in range(len(states)):
-            cost, j = min((best[j] + (switch if j != k else 0.0) + min(abs(now[k] - levels[j]) / spread, far / 2), j) for j in range(len(states)))
-            row.append(cost + e[k])
-            come.append(j)
-        best, levels = row, now
-        back.append(come)
-    k = min(range(len(states)), key=lambda i: (best[i], i))
-    path = [k]
-    for come in reversed(back):
-        path.append(k := come[k])
-    return path[::-1]
 
-
-def _decode(values: list[float], evidence: list[list[Evidence]]) -> list[tuple[Unit, float] | None]:
-    """Viterbi over a device; where every reading has one candidate the path is that candidate."""
-    if all(len(es) == 1 for es in evidence):
-        return [(es[0].unit, es[0].power) for es in evidence]
-    states = list(dict.fromkeys((e.unit, e.power) for es in evidence for e in es))
+def _decode(values: list[float], evidence: list[list[Evidence]]) -> list[State | None]:
+    """The unit of every reading of a device."""
+    states = states_of(evidence)
     return [states[k] if k >= 0 else None for k in viterbi_units(values, evidence, states)]
 
 
@@ -399,7 +436,7 @@ def table_readings(record_id: int, caption: str | None, columns: Sequence[str] |
         if u := column_unit(col):
             outer.append(Evidence(*u, 1))
         if (u := caption_unit(caption, col)) and (not outer or u[0].quantity == outer[0].unit.quantity):
-            outer.append(Evidence(*u, 3))
+            outer.append(Evidence(*u, 4))
         below: tuple[Unit, float] | None = next((c[col] for c in units_rows.values() if col in c), None)
         values, evidence, at = [], [], []
         for n, row in enumerate(rows):
@@ -416,7 +453,9 @@ def table_readings(record_id: int, caption: str | None, columns: Sequence[str] |
             stated = [r for r in found if r.unit]
             for r in stated or found[:1]:
                 own = [Evidence(r.unit, 1.0, 0)] if r.unit else []
-                if not own:
+                if own:
+                    own += [e for e in outer if e.unit.quantity == r.unit.quantity]
+                else:
                     rest = text[: r.start] + " " + text[r.end :]
                     if len(found) > 1 or re.search(r"[^\W\d_]|[%°/]", re.sub(r"(?i)\b(?:ca|about|approx|circa|c)\b\.?", "", rest)):
                         continue
@@ -492,12 +531,51 @@ def decode_tables(tables: DataFrame, block_rows: int = 256) -> DataFrame:
     return tables.select("record_id", "caption", "columns", "rows").mapInArrow(run, _FOUND)
 
 
-def decode_statements(edges: DataFrame, relations: Sequence[str] = ("HAS_VALUE", "HAS_CONDITION", "REPORTS_RESULT"), block: int = 4096) -> DataFrame:
+def _boundaries(matrices: DataFrame, fan: int) -> DataFrame:
+    """device, run, before, last: costs of the states before each run and the state at its end.
+
+    matrices: device, run, m (a flattened (min, +) matrix). Of more than ``fan`` runs each ``fan``
+    are multiplied first, so no task holds more of a device than that.
+    """
+
+    def load(m) -> np.ndarray:
+        k = math.isqrt(len(m))
+        return np.asarray(m, dtype=np.int64).reshape(k, k)
+
+    def product(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        got = None
+        for m in df.sort_values("run")["m"]:
+            got = load(m) if got is None else (got[:, :, None] + load(m)).min(axis=1)
+        return pd.DataFrame([(key[0], key[1], got.ravel().tolist())], columns=["device", "run", "m"])
+
+    def walk(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("run")
+        ms = [load(m) for m in df["m"]]
+        cost = [np.asarray(df["before"].iloc[0], dtype=np.int64) if df["before"].iloc[0] is not None else np.zeros(len(ms[0]), dtype=np.int64)]
+        for m in ms:
+            cost.append((cost[-1][:, None] + m).min(axis=0))
+        given = df["last"].iloc[0]
+        last = [int(cost[-1].argmin()) if pd.isna(given) else int(given)]
+        for c, m in zip(cost[-2:0:-1], ms[:0:-1], strict=True):
+            last.append(int((c + m[:, last[-1]]).argmin()))
+        return pd.DataFrame({"device": key[0], "run": df["run"].to_numpy(), "before": [c.tolist() for c in cost[:-1]], "last": last[::-1]})
+
+    shape = "device string, run bigint, before array<bigint>, last int"
+    most = matrices.agg(F.max("run")).first()[0] or 0
+    if most < fan:
+        return matrices.withColumn("before", F.lit(None).cast("array<bigint>")).withColumn("last", F.lit(None).cast("int")).groupBy("device").applyInPandas(walk, shape)
+    above = F.floor(F.col("run") / fan)
+    parents = checkpoint(matrices.groupBy("device", above.alias("run")).applyInPandas(product, "device string, run bigint, m array<bigint>"))
+    held = _boundaries(parents, fan).withColumnRenamed("run", "parent")
+    return matrices.withColumn("parent", above).join(held, ["device", "parent"]).groupBy("device", "parent").applyInPandas(walk, shape)
+
+
+def decode_statements(edges: DataFrame, relations: Sequence[str] = ("HAS_VALUE", "HAS_CONDITION", "REPORTS_RESULT"), block: int = 4096, fan: int = 1024) -> DataFrame:
     """Readings of the targets of edges: the device is a quantity of a paper, in the order of edge_id.
 
     A device of more than ``block`` readings is cut into runs of so many consecutive ones, so that
-    no task gets an unbounded group (one paper may hold a third of all edges). They are counted by
-    ranges of edge ids, without a window over a whole device. Null or blank targets and rows without an id
+    no task gets an unbounded group (one paper may hold a third of all edges); the runs are joined
+    by their (min, +) matrices, which changes no row. Null or blank targets and rows without an id
     give no reading.
     """
     picked = edges.where(F.col("relation").isin(*relations) & F.col("edge_id").isNotNull()).select("edge_id", "paper_id", "target", "evidence_quote", "metadata")
@@ -512,33 +590,61 @@ def decode_statements(edges: DataFrame, relations: Sequence[str] = ("HAS_VALUE",
                 ]
             yield pd.DataFrame(got, columns=["row_id", "n", "device", "value", "evidence"])
 
-    seen = picked.mapInPandas(parse, "row_id bigint, n bigint, device string, value double, evidence string")
-    seen = checkpoint(seen.withColumn("range", F.floor(F.col("row_id") / block)))
+    def named(texts: Iterable[str]) -> list[list[Evidence]]:
+        return [[Evidence(Unit(*e[:4]), e[4], e[5]) for e in json.loads(t)] for t in texts]
+
+    def rows_of(ids: Sequence[int], values: Sequence[float], path: Sequence[State]) -> list[tuple]:
+        return [(i, -1, "target", u.quantity, u.name, x, _common(x, u, p), True) for i, x, (u, p) in zip(ids, values, path, strict=True)]
+
+    fields = [c.split()[0] for c in _FOUND.split(", ")]
+    seen = checkpoint(picked.mapInPandas(parse, "row_id bigint, n bigint, device string, value double, evidence string").withColumn("range", F.floor(F.col("row_id") / block)))
     every = Window.partitionBy("device")
-    size = seen.groupBy("device", "range").agg(F.count(F.lit(1)).alias("held")).select("device", "range", F.sum("held").over(every).alias("all"), (F.sum("held").over(every.orderBy("range")) - F.col("held")).alias("before"))
-    placed = seen.join(size, ["device", "range"]).withColumn("k", F.row_number().over(Window.partitionBy("device", "range").orderBy("row_id", "n")))
-    number = F.when(F.col("all") <= block, 0).otherwise(F.floor((F.col("before") + F.col("k") - 1) / block))
-    runs = placed.select("row_id", "n", "device", "value", "evidence", number.cast("bigint").alias("block")).repartition("device", "block").sortWithinPartitions("device", "block", "row_id", "n")
+    size = seen.groupBy("device", "range").agg(F.count(F.lit(1)).alias("held")).select("device", "range", F.sum("held").over(every).alias("all"), (F.sum("held").over(every.orderBy("range")) - F.col("held")).alias("earlier"))
+    readings = seen.join(size, ["device", "range"])
+    short = readings.where(F.col("all") <= block).select("row_id", "n", "device", "value", "evidence").repartition("device").sortWithinPartitions("device", "row_id", "n")
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush(run: list[tuple]) -> list[tuple]:
-            evidence = [[Evidence(Unit(*e[:4]), e[4], e[5]) for e in json.loads(r[4])] for r in run]
-            states = _decode([r[3] for r in run], evidence)
-            return [(r[0], -1, "target", s[0].quantity, s[0].name, r[3], _common(r[3], *s), True) for r, s in zip(run, states, strict=True) if s]
+            values = [r[3] for r in run]
+            return rows_of([r[0] for r in run], values, _decode(values, named(r[4] for r in run)))
 
         run: list[tuple] = []
         for df in frames:
             got: list[tuple] = []
             for row in df.itertuples(index=False, name=None):
-                if run and (run[-1][2], run[-1][5]) != (row[2], row[5]):
+                if run and run[-1][2] != row[2]:
                     got += flush(run)
                     run = []
                 run.append(row)
-            yield pd.DataFrame(got, columns=[c.split()[0] for c in _FOUND.split(", ")])
+            yield pd.DataFrame(got, columns=fields)
         if run:
-            yield pd.DataFrame(flush(run), columns=[c.split()[0] for c in _FOUND.split(", ")])
+            yield pd.DataFrame(flush(run), columns=fields)
+
+    found = short.mapInPandas(decode, _FOUND)
+    if size.where(F.col("all") > block).isEmpty():
+        return found
+    place = F.row_number().over(Window.partitionBy("device", "range").orderBy("row_id", "n"))
+    long = readings.where(F.col("all") > block).withColumn("run", F.floor((F.col("earlier") + place - 1) / block)).select("row_id", "n", "device", "run", "value", "evidence")
+    ends = long.groupBy("device", "run").agg(F.max_by("value", F.struct("row_id", "n")).alias("value")).select("device", (F.col("run") + 1).alias("run"), F.col("value").alias("previous"))
+    units = long.groupBy("device").agg(F.collect_set("evidence").alias("units"))  # as many as there are spellings, not readings
+    long = checkpoint(long.join(units, "device").join(ends, ["device", "run"], "left"))
+
+    def costs(df: pd.DataFrame) -> tuple[pd.DataFrame, list[State], np.ndarray, np.ndarray]:
+        df = df.sort_values(["row_id", "n"])
+        states, previous = states_of(named(df["units"].iloc[0])), df["previous"].iloc[0]
+        return df, states, *_costs(df["value"].tolist(), named(df["evidence"]), states, None if pd.isna(previous) else previous)
+
+    def matrix(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, run_matrix(*costs(df)[2:]).ravel().tolist())], columns=["device", "run", "m"])
+
+    def between(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        df, states, emission, jump = costs(df)
+        path = _path(emission, jump, np.asarray(df["before"].iloc[0], dtype=np.int64), int(df["last"].iloc[0]))
+        return pd.DataFrame(rows_of(df["row_id"].tolist(), df["value"].tolist(), [states[k] for k in path]), columns=fields)
 
-    return runs.mapInPandas(decode, _FOUND)
+    matrices = checkpoint(long.groupBy("device", "run").applyInPandas(matrix, "device string, run bigint, m array<bigint>"))
+    joined = long.join(_boundaries(matrices, fan), ["device", "run"])
+    return found.unionByName(joined.groupBy("device", "run").applyInPandas(between, _FOUND))
 
 
 def found_quantities(edges: DataFrame, tables: DataFrame, quantities: DataFrame) -> DataFrame:
@@ -550,4 +656,4 @@ def found_quantities(edges: DataFrame, tables: DataFrame, quantities: DataFrame)
     both = decode_statements(edges).withColumn("place", F.lit("edge")).unionByName(decode_tables(tables).withColumn("place", F.lit("table")))
     wanted = quantities.select("quantity").where(F.col("quantity").isNotNull()).distinct()
     kept = both.where(F.col("named") & (F.abs("common") < 9.2e18))
-    return kept.join(F.broadcast(wanted.limit(10_000)), "quantity", "left_semi").select("place", "row_id", "row_no", "col", "quantity", F.rint("common").cast("bigint").alias("common_value"))
+    return kept.join(wanted, "quantity", "left_semi").select("place", "row_id", "row_no", "col", "quantity", F.rint("common").cast("bigint").alias("common_value"))

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from conftest import rows
@@ -71,9 +72,24 @@ def test_tables_and_edges(spark):
     assert decode_tables(t.limit(0)).count() == 0 and decode_statements(e.limit(0)).count() == 0
 
 
-def test_blocks_don_t_change_what_text_decides(spark):
-    e = spark.createDataFrame([(k, "s", "HAS_VALUE", f"{k + 1} K" if k % 2 else f"{k + 1} °C", "p", None, None, "x") for k in range(200)], EDGE)
-    assert rows(decode_statements(e, block=7)) == rows(decode_statements(e))
+def test_blocks_change_no_row(spark):
+    r = random.Random(2)
+    quote = lambda k: None if k % 3 else f"given in {r.choice(['kPa', 'MPa', 'bar'])} or {r.choice(['kPa', 'MPa', 'bar'])}: {k % 17 + 1}"
+    data = [(k, "s", "HAS_VALUE", f"{k % 17 + 1} {r.choice(['kPa', 'MPa', 'bar'])}" if k % 3 else f"{k % 17 + 1}", "p" if k % 5 else "q", quote(k), None, "x") for k in range(300)]
+    e = spark.createDataFrame(data, EDGE)
+    want = rows(decode_statements(e))
+    assert len(want) == 300 and rows(decode_statements(e, block=7)) == want and rows(decode_statements(e, block=5, fan=3)) == want
+
+
+def test_a_clear_level_outvotes_a_caption_but_no_unit_beside_the_number(spark):
+    table = lambda caption, cells: spark.createDataFrame([(1, None, None, None, None, caption, None, [{"P": c} for c in cells], None, None)], TABLE)
+    common = lambda *x: [r.common for r in decode_tables(table(*x)).orderBy("row_no").collect()]
+    assert common("T (P given in kPa)", ["2 MPa", "3", "2.5 MPa"]) == [2000, 3000, 2500]  # a wrong caption
+    assert common("T (P given in kPa)", ["2 MPa", "3 kPa", "2.5 MPa"]) == [2000, 3, 2500]
+    assert common("T (P given in kPa)", ["2", "2500", "3"]) == [2, 2500, 3]
+    # a switch that no text tells; the silent readings are decoded, not reported
+    t = table(None, ["1 MPa", "1.1", "1200", "1300", "1250 kPa"])
+    assert [(r.common, r.named) for r in decode_tables(t).orderBy("row_no").collect()] == [(1000, True), (1100, False), (1200, False), (1300, False), (1250, True)]
 
 
 def test_levels_decide_between_named_units(spark):
