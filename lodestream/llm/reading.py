@@ -5,18 +5,21 @@ A word is familiar at a level if documents of that level or an easier one hold i
 reader, student), and the grade of a word is the number of lists it stands outside. The difficulty
 of a sentence is the mean grade of its words (the sum of its shares of words outside each list),
 that of a document is the mean over the middle half of its prose, plus a weight times the log of
-the typical sentence length. Headings, lists of references, tables and stray sentences fall away.
+its average sentence length. Headings, lists of references, tables and stray sentences fall away.
 
 Document frequencies are counted over all documents: first by the levels readers gave to a sample,
-then again by the levels these give to the whole corpus. Weight and thresholds are fitted to the
-labels.
+then again by the levels these give to the whole corpus. The weight is that of a least-squares fit
+of the labels on both terms; the thresholds are those that err least on the labels.
+
+Texts are read once: the prose of each is kept as 32-bit numbers of its words (CRC-32; a word of no
+list takes the grade of a listed one by chance in seven of a million cases) and the lengths of its
+sentences, and all later passes run over these with arrays.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +73,7 @@ def prose(text: str | None) -> list[list[str]]:
         if _REFERENCE.match(x) or (refs and re.search(r"\(\d{4}\)", x)):
             continue
         words = _WORD.findall(x)
-        if len(words) < 2 or sum(c.isalpha() for c in x) < 0.5 * sum(not c.isspace() for c in x):
+        if len(words) < 2 or 2 * sum(map(len, words)) < sum(map(len, x.split())):
             continue
         if x[-1] not in ".!?…\"”)'’" and len(words) <= 10:
             continue
@@ -79,149 +82,167 @@ def prose(text: str | None) -> list[list[str]]:
     return out
 
 
-def is_english(sentences: list[list[str]], known: dict[str, int] | None = None) -> bool:
-    """The words between the content words are English ones, and more of them than of any other language.
+def _number(word: str) -> int:
+    """The number of a word (never 0) and, above 32 bits, which languages have it as a function word (bit 0: English)."""
+    tongues = (word in ENGLISH) + sum((word in v) * (2 << k) for k, v in enumerate(OTHERS.values()))
+    return (tongues << 32) + (zlib.crc32(word.encode()) or 1)
 
-    Telegraphic prose has few such words: it counts if it has no foreign ones either and, where the
-    words ``known`` from other documents are given, most of its words are among them.
-    """
-    n = sum(map(len, sentences))
-    if not n:
-        return False
-    c = Counter(w for s in sentences for w in s)
-    en = sum(k for w, k in c.items() if w in ENGLISH)
-    rest = max(sum(k for w, k in c.items() if w in v) for v in OTHERS.values())
-    if rest and en <= 1.5 * rest:
-        return False
-    return en >= 0.1 * n or (rest <= 0.02 * n and known is not None and sum(k for w, k in c.items() if w in known) >= 0.7 * n)
-
-
-def features(sentences: list[list[str]], grade: dict[str, int]) -> tuple[float, float]:
-    """(mean grade over the middle half of the prose by difficulty, log of the word-weighted median sentence length)."""
-    got = sorted((sum(grade.get(w, len(LEVELS) - 1) for w in s) / len(s), len(s)) for s in sentences)
-    n = sum(k for _, k in got)
-    low, high, pos, total = 0.25 * n, 0.75 * n, 0.0, 0.0
-    for g, k in got:
-        total += g * max(0.0, min(pos + k, high) - max(pos, low))
-        pos += k
-    pos, length = 0, 1
-    for k in sorted(len(s) for s in sentences):
-        pos, length = pos + k, k
-        if pos * 2 >= n:
-            break
-    return total / (high - low), math.log(length)
-
-
-def grades(table: dict[str, list[float]], docs: list[float]) -> dict[str, int]:
-    """Grade of each word from its document frequencies by level; ``docs``: documents of each level."""
-    out = {}
-    for w, by in table.items():
-        rate = [b / d if d else 0.0 for b, d in zip(by, docs, strict=True)]
-        top, reach = max(rate), 0.0
-        for k, r in enumerate(rate):
-            reach = max(reach, r)
-            if reach >= ALPHA * top:
-                out[w] = k
-                break
-    return out
 
+_KEEP = "doc_id bigint, english int, other int, words binary, lengths binary"
 
-class Model:
-    """Word grades, the weight of the sentence length and the three thresholds."""
 
-    def __init__(self, grade: dict[str, int], weight: float = 0.0, cuts: tuple[float, ...] = (0.5, 1.2, 1.8)):
-        self.grade, self.weight, self.cuts = grade, weight, cuts
+def read_prose(docs: DataFrame, least: int = 30) -> DataFrame:
+    """doc_id, english, other, words, lengths of every document with at least ``least`` words of prose.
 
-    def score(self, sentences: list[list[str]]) -> float:
-        g, length = features(sentences, self.grade)
-        return g + self.weight * length
+    english, other: how many words are function words of English, and of the other language that has
+    most of them; words, lengths: numbers of the words and lengths of the sentences, as bytes.
+    """
 
-    def level(self, sentences: list[list[str]]) -> int:
-        s = self.score(sentences)
-        return 1 + sum(s > c for c in self.cuts)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number: dict[str, int] = {}
+        for df in frames:
+            got = []
+            for i, text in zip(df["doc_id"], df["text"], strict=True):
+                sentences = prose(text)
+                n = sum(map(len, sentences))
+                if n < least:
+                    continue
+                codes = np.fromiter((number.get(w) or number.setdefault(w, _number(w)) for s in sentences for w in s), dtype=np.int64, count=n)
+                tongues = codes >> 32
+                other = max(np.count_nonzero(tongues & (2 << k)) for k in range(len(OTHERS)))
+                got.append((i, np.count_nonzero(tongues & 1), other, codes.astype(np.uint32).tobytes(), np.array([len(s) for s in sentences], dtype=np.uint32).tobytes()))
+                if len(number) > 500_000:
+                    number.clear()
+            yield pd.DataFrame(got, columns=["doc_id", "english", "other", "words", "lengths"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where((F.length("text") > 0) & F.col("doc_id").isNotNull())
+    return texts.mapInPandas(run, _KEEP)
 
 
-def fit(grade: dict[str, int], rows: list[tuple[float, float, float]]) -> Model:
-    """Weight and thresholds that err least on (grade, log length, level) rows of labelled documents."""
+class Model:
+    """Graded word numbers, the weight of the sentence length and the three thresholds."""
+
+    def __init__(self, words: np.ndarray, grade: np.ndarray, weight: float = 0.0, cuts: tuple[float, ...] = (0.5, 1.2, 1.8)):
+        self.words, self.grade, self.weight, self.cuts = words, grade, weight, cuts
+
+    def features(self, df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(English?, mean grade over the middle half of the prose by difficulty, log of the average sentence length) of each row.
+
+        English: the words between the content words are English ones, and more of them than of any
+        other language. Telegraphic prose has few such words: it counts if it has no foreign ones
+        either and most of its words are listed.
+        """
+        if df.empty:
+            return np.zeros(0, dtype=bool), np.zeros(0), np.zeros(0)
+        words = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in df["words"]])
+        lengths = [np.frombuffer(x, dtype=np.uint32).astype(np.int64) for x in df["lengths"]]
+        per_doc = np.array([len(x) for x in lengths])
+        length = np.concatenate(lengths)
+        first = np.concatenate([[0], np.cumsum(per_doc)[:-1]])  # first sentence of each document
+        n = np.add.reduceat(length, first)
+        at = np.searchsorted(self.words, words)
+        at[at == len(self.words)] = 0
+        listed = self.words[at] == words if len(self.words) else np.zeros(len(words), dtype=bool)
+        grade = np.where(listed, self.grade[at] if len(self.words) else 0, len(LEVELS) - 1)
+        mean = np.add.reduceat(grade, np.concatenate([[0], np.cumsum(length)[:-1]])) / length
+        doc = np.repeat(np.arange(len(per_doc)), per_doc)
+        order = np.lexsort((length, mean, doc))
+        mean, size = mean[order], length[order]
+        begin = np.cumsum(size) - size
+        begin -= begin[first][doc]
+        part = np.maximum(0.0, np.minimum(begin + size, 0.75 * n[doc]) - np.maximum(begin, 0.25 * n[doc]))
+        g = np.add.reduceat(mean * part, first) / np.maximum(np.add.reduceat(part, first), 1e-9)
+        known = np.add.reduceat(listed.astype(np.int64), np.concatenate([[0], np.cumsum(n)[:-1]]))
+        en, other = df["english"].to_numpy(), df["other"].to_numpy()
+        english = ~((other > 0) & (en <= 1.5 * other)) & ((en >= 0.1 * n) | ((other <= 0.02 * n) & (known >= 0.7 * n)))
+        return english, g, np.log(n / per_doc)
+
+    def levels(self, g: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return 1 + (g[:, None] + self.weight * length[:, None] > np.array(self.cuts)).sum(axis=1)
+
+
+def grades(rows: list[tuple[int, list[float]]], docs: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, grades) of words from their document frequencies by level; ``docs``: documents of each level."""
+    rate = np.array([by for _, by in rows], dtype=float).reshape(len(rows), len(LEVELS)) / np.maximum(docs, 1.0)
+    reach = np.maximum.accumulate(rate, axis=1) >= ALPHA * rate.max(axis=1, keepdims=True)
+    words = np.array([w for w, _ in rows], dtype=np.uint32)
+    order = np.argsort(words)
+    return words[order], reach.argmax(axis=1)[order]
+
+
+def fit(model: Model, rows: list[tuple[float, float, float]]) -> Model:
+    """Weight and thresholds from (grade, log length, level) rows of labelled documents."""
     if not rows:
-        return Model(grade)
+        return model
     x = np.array(rows, dtype=float)
-    best: tuple[float, Model] | None = None
-    for weight in (0.0, 0.05, 0.1, 0.2, 0.3, 0.5):
-        s, cuts, err = x[:, 0] + weight * x[:, 1], [], 0.0
-        for k in LEVELS[:-1]:
-            order = np.argsort(s, kind="stable")
-            v, above = s[order], (x[order, 2] > k).astype(float)
-            # errors if the cut stands after the i-th: levels above among those below it, and the reverse
-            cost = np.concatenate([[0], np.cumsum(above)]) + np.concatenate([np.cumsum((1 - above)[::-1])[::-1], [0]])
-            least = np.flatnonzero(cost == cost.min())
-            i = int(least[len(least) // 2])
-            cuts.append(float((v[max(i - 1, 0)] + v[min(i, len(v) - 1)]) / 2))
-            err += float(cost.min())
-        cuts = np.maximum.accumulate(cuts).tolist()
-        if best is None or err < best[0] - 1e-9:
-            best = (err, Model(grade, weight, tuple(cuts)))
-    return best[1]
-
-
-def _frequencies(rows: DataFrame, level_of: Model | None, list_size: int) -> tuple[dict[str, list[float]], list[float]]:
-    """Document frequencies by level of the ``list_size`` most frequent words, and the documents of each level.
-
-    rows: text and, where ``level_of`` is None, level. Counted per task, then summed.
+    slope = np.linalg.lstsq(np.c_[x[:, :2], np.ones(len(x))], x[:, 2], rcond=None)[0]
+    weight = float(slope[1] / slope[0]) if slope[0] > 0 and slope[1] > 0 else 0.0
+    score, cuts = x[:, 0] + weight * x[:, 1], []
+    order = np.argsort(score, kind="stable")
+    v = score[order]
+    for k in LEVELS[:-1]:
+        above = (x[order, 2] > k).astype(float)
+        # errors if the cut stands after the i-th: levels above among those below it, and the reverse
+        cost = np.concatenate([[0], np.cumsum(above)]) + np.concatenate([np.cumsum((1 - above)[::-1])[::-1], [0]])
+        least = np.flatnonzero(cost == cost.min())
+        i = int(least[len(least) // 2])
+        cuts.append(float((v[max(i - 1, 0)] + v[min(i, len(v) - 1)]) / 2))
+    return Model(model.words, model.grade, weight, tuple(np.maximum.accumulate(cuts).tolist()))
+
+
+def _frequencies(rows: DataFrame, model: Model | None, list_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Graded list of the ``list_size`` most frequent words, from document frequencies by level.
+
+    rows: as ``read_prose`` gives them and, where ``model`` is None, level. Counted per batch, then summed.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[tuple[str, int]] = Counter()
         for df in frames:
-            for text, given in zip(df["text"], df["level"], strict=True):
-                s = prose(text)
-                if sum(map(len, s)) < 30 or (level_of and not is_english(s, level_of.grade)):
-                    continue
-                level = level_of.level(s) if level_of else int(given)
-                seen.update((w, level) for w in {w for x in s for w in x} if len(w) < 40)
-                seen[("", level)] += 1
-            if len(seen) > 300_000:
-                yield pd.DataFrame([(w, k, n) for (w, k), n in seen.items()], columns=["word", "level", "n"])
-                seen.clear()
-        yield pd.DataFrame([(w, k, n) for (w, k), n in seen.items()], columns=["word", "level", "n"])
-
-    counts = rows.mapInPandas(run, "word string, level int, n bigint")
+            if model is None:
+                level = df["level"].to_numpy()
+            else:
+                english, g, length = model.features(df)
+                df, level = df[english], model.levels(g, length)[english]
+            if df.empty:
+                continue
+            held = [np.unique(np.frombuffer(x, dtype=np.uint32)).astype(np.int64) for x in df["words"]]
+            held = [np.concatenate([[0], x]) for x in held]  # 0 counts the documents
+            key = np.concatenate(held) * 8 + np.repeat(level, [len(x) for x in held])
+            key, count = np.unique(key, return_counts=True)
+            yield pd.DataFrame({"word": key // 8, "level": (key % 8).astype(np.int32), "n": count})
+
+    counts = rows.mapInPandas(run, "word bigint, level int, n bigint")
     by = counts.groupBy("word").agg(*(F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0)).alias(f"l{k}") for k in LEVELS), F.sum("n").alias("all"))
-    top = by.orderBy(F.desc("all"), "word").limit(list_size + 1).collect()
-    table = {r["word"]: [float(r[f"l{k}"]) for k in LEVELS] for r in top}
-    docs = table.pop("", [0.0] * len(LEVELS))
-    return table, docs
+    top = [(r["word"], [float(r[f"l{k}"]) for k in LEVELS]) for r in by.orderBy(F.desc("all"), "word").limit(list_size + 1).collect()]
+    docs = dict(top).get(0, [0.0] * len(LEVELS))
+    return grades([x for x in top if x[0]], docs)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, list_size: int = 30_000) -> Model | None:
-    """Word lists, weight and thresholds from all documents and the labels; None where nothing is labelled.
+def train(read: DataFrame, labels: DataFrame, max_labels: int = 20_000, list_size: int = 30_000) -> Model | None:
+    """Word lists, weight and thresholds from all documents as ``read_prose`` gives them, and the labels; None where nothing is labelled.
 
-    ``max_labels`` bounds the labelled documents used (those first in hash order), ``list_size``
-    the words of the lists. A document's label is the mean of its readers'; null labels don't count.
+    ``max_labels`` bounds the labelled documents used (those first in hash order, of repeated ids one
+    row), ``list_size`` the words of the lists: a word beyond is familiar at no level. A document's
+    label is the mean of its readers'; null labels don't count.
     """
     one = labels.where(F.col("level").between(1, 4)).groupBy("doc_id").agg(F.avg("level").alias("mean"))
     one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    labelled = checkpoint(texts.join(F.broadcast(one), "doc_id").select("text", F.round("mean").cast("int").alias("level"), "mean"))
+    labelled = checkpoint(read.join(F.broadcast(one), "doc_id").dropDuplicates(["doc_id"]).withColumn("level", F.round("mean").cast("int")))
     if labelled.isEmpty():
         return None
 
-    def rows(grade: dict[str, int]) -> list[tuple[float, float, float]]:
+    def rows(model: Model) -> list[tuple[float, float, float]]:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for df in frames:
-                got = []
-                for text, level in zip(df["text"], df["mean"], strict=True):
-                    s = prose(text)
-                    if sum(map(len, s)) >= 30 and is_english(s, grade):
-                        got.append((*features(s, grade), float(level)))
-                yield pd.DataFrame(got, columns=["g", "length", "level"])
+                english, g, length = model.features(df)
+                yield pd.DataFrame({"g": g, "length": length, "level": df["mean"]})[english]
 
         return [tuple(r) for r in labelled.mapInPandas(run, "g double, length double, level double").collect()]
 
-    first = grades(*_frequencies(labelled.select("text", "level"), None, list_size))
-    model = fit(first, rows(first))
-    grade = grades(*_frequencies(texts.select("text", F.lit(0).alias("level")), model, list_size))
-    return fit(grade, rows(grade))
+    first = Model(*_frequencies(labelled, None, list_size))
+    first = fit(first, rows(first))
+    model = Model(*_frequencies(read, first, list_size))
+    return fit(model, rows(model))
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, list_size: int = 30_000) -> DataFrame:
@@ -230,16 +251,13 @@ def reading_levels(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000,
     Null, empty and white texts, rows without an id, other languages, number dumps and stubs have no row; repeated
     documents have one each; without any label the result is empty.
     """
-    model = train(docs, labels, max_labels, list_size)
+    read = checkpoint(read_prose(docs))
+    model = train(read, labels, max_labels, list_size)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            got = []
-            for i, text in zip(df["doc_id"], df["text"], strict=True):
-                s = prose(text)
-                if model and sum(map(len, s)) >= 30 and is_english(s, model.grade):
-                    got.append((i, model.level(s)))
-            yield pd.DataFrame(got, columns=["doc_id", "level"])
+            if model:
+                english, g, length = model.features(df)
+                yield pd.DataFrame({"doc_id": df["doc_id"], "level": model.levels(g, length)})[english]
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where((F.length("text") > 0) & F.col("doc_id").isNotNull())
-    return texts.mapInPandas(run, "doc_id bigint, level bigint")
+    return read.mapInPandas(run, "doc_id bigint, level bigint")
