@@ -2,8 +2,10 @@
 
 Three sources of evidence are gathered over all sections: how many sections hold a word, how many
 hold a short line (fuzzily: digits and characters that scanners confuse are folded), and how often
-such a line interrupts a sentence. Running heads are lines that repeat and whose words live only in
-them, or lines in the shape of a running head; page numbers are number lines beside prose.
+such a line interrupts a sentence. Running heads stand at the edge of a page, that is between two
+blocks of prose or beside a page number: there they are lines that repeat and whose words live only
+in them, or lines in the shape of a running head. Page numbers are number lines that count up from
+one to the next through the section, and lone ones beside prose.
 Words cut at a line end are joined if the corpus knows the joined word better than the
 compound; misread words are those that turn into a common word when one confusion is undone.
 """
@@ -11,7 +13,6 @@ compound; misread words are those that turn into a common word when one confusio
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,6 +33,7 @@ FOLDS = [("rn", "m"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("ri", "n"), ("0",
 
 _EOL = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _HYPHEN = "-\u2010\u2011\u00ad–¬"
+_HYPHENS = frozenset(_HYPHEN)
 _WORD_SPLIT = re.compile(r"[\s\-–—\u2010\u2011\u00ad¬/]+")
 _STRIP = ".,;:()[]{}\"“”‘’'?…=*†"
 _CUT_END = re.compile(rf"(?P<left>[^\W_][\w!@$|\u00ad]*)[{_HYPHEN}][ \t]*$")
@@ -42,7 +44,7 @@ class _Cut:
 
     @staticmethod
     def search(line: str) -> re.Match | None:
-        return _CUT_END.search(line, max(0, len(line) - 80))
+        return _CUT_END.search(line, max(0, len(line) - 80)) if line.rstrip(" \t")[-1:] in _HYPHENS else None
 
     @staticmethod
     def sub(by: str, line: str) -> str:
@@ -78,7 +80,12 @@ def fold(text: str) -> str:
     return s
 
 
+_SMALL = re.compile(r"(?:[a-z][^a-z]*){10}")
+
+
 def _capitals(s: str) -> bool:
+    if len(s) <= 100 and _SMALL.search(s):  # more than a tenth of its letters
+        return False
     letters = [c for c in s if c.isalpha()]
     small = sum(c.islower() for c in letters)
     return len(letters) >= 6 and small <= 0.1 * len(letters) and not re.search(r"[=→]", s) and (" " in s.strip() or len(letters) >= 9)
@@ -89,36 +96,62 @@ def tokens(line: str) -> list[str]:
     return [w for x in _WORD_SPLIT.split(line.lower()) if (w := x.strip(_STRIP).rstrip("!"))]
 
 
+_ROMANS = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
+_MISREAD = str.maketrans("OolIiSsBbZz!", "001115588221")
+
+
+def number_of(text: str) -> int | None:
+    """The number in a page-number line, misread figures and roman ones too."""
+    if m := re.search(r"[0-9OolISBZ!]*[0-9][0-9OolISBZ!]*", text):
+        return int(m[0].translate(_MISREAD))
+    m = re.search(_ROMAN, text.lower())
+    digits = [_ROMANS[c] for c in m[0].replace("1", "i").replace("!", "i")] if m else []
+    return sum(-a if any(b > a for b in digits[k + 1 : k + 2]) else a for k, a in enumerate(digits)) or None
+
+
 class Line:
     """What one line of a section may be."""
 
-    __slots__ = ("no", "text", "blank", "page", "number", "core", "shape", "candidate", "interrupts")
+    __slots__ = ("no", "text", "blank", "page", "number", "count", "core", "shape", "candidate", "interrupts", "edge")
 
-    def __init__(self, no: int, text: str):
-        self.no, self.text, self.blank = no, text, not text.strip()
-        self.page = bool(_PAGE.match(text)) and len(text.strip()) <= 24
-        self.number, self.core, self.shape, self.candidate, self.interrupts = False, "", False, False, False
-        s = re.sub(r"\s+\.$", "", text.strip())
-        if self.blank or self.page or len(s) > 90 or "=" in s or (_LIST.match(s) and not _LEAD.match(s)):
+    def __init__(self, no: int, text: str, longest: int = 90):
+        s = text.strip()
+        self.no, self.text, self.blank = no, text, not s
+        self.page = len(s) <= 24 and bool(_PAGE.match(text))
+        self.number, self.core, self.shape, self.candidate, self.interrupts, self.edge = False, "", False, False, False, False
+        self.count = number_of(s) if self.page else None
+        if self.blank or self.page or len(s) > longest + 2:
+            return
+        s = re.sub(r"\s+\.$", "", s)
+        if len(s) > longest or "=" in s or (_LIST.match(s) and not _LEAD.match(s)):
             return
         core = s
         if m := _LEAD.match(core):
-            core, self.number = core[m.end() :].strip(), True
+            core, self.number, self.count = core[m.end() :].strip(), True, number_of(m["n"])
         if m := _TRAIL.search(core):
-            core, self.number = core[: m.start()].strip(), True
+            core, self.number, self.count = core[: m.start()].strip(), True, number_of(m["n"])
         self.core = core
         self.shape = any(p.match(core) for p in _SHAPES) or _capitals(core)
         self.candidate = self.shape or (core[:1].isupper() and core[-1:] not in ".!?;,:" and len(core.split()) <= 9 and not _CUT.search(core))
 
 
-def lines_of(text: str) -> list[Line]:
-    """The lines of a section with what stands around them worked out."""
+def _prose(line: Line) -> bool:
+    return not line.blank and not line.page and len(line.text.split()) >= 4 and not _LIST.match(line.text)
+
+
+def lines_of(text: str, missed: int = 3) -> list[Line]:
+    """The lines of a section with what stands around them worked out.
+
+    A number line is in a sequence if the next or the last number line of the section is 1 to
+    ``missed`` + 1 further on (some numbers may have been lost).
+    """
     lines = [Line(k, x) for k, x in enumerate(_EOL.split(text))]
     n = len(lines)
-    if n < 3:
-        for x in lines:
-            x.page = x.candidate = x.shape = False
+    furniture = [x for x in lines if x.page or x.candidate]
+    if not furniture:
         return lines
+    counted = [x for x in furniture if x.count is not None and (x.page or x.shape)]
+    in_sequence = {x.no for a, b in zip(counted, counted[1:], strict=False) if 1 <= b.count - a.count <= missed + 1 for x in (a, b)}
 
     def beside(k: int, step: int) -> Line | None:
         k += step
@@ -126,32 +159,38 @@ def lines_of(text: str) -> list[Line]:
             k += step
         return lines[k] if 0 <= k < n else None
 
-    for x in lines:
-        if x.candidate or x.page:
-            a, b = beside(x.no, -1), beside(x.no, 1)
-            open_before = a is not None and not a.blank and a.text.rstrip()[-1:] not in ".!?:"
-            x.interrupts = bool(open_before and b is not None and b.text.lstrip()[:1].islower())
-        if x.page and not x.interrupts and (m := _PAGE.match(x.text)) and m["bare"]:
-            # a bare number needs prose or furniture beside it
-            near = [lines[k] for k in range(max(0, x.no - 2), min(n, x.no + 3)) if k != x.no and not lines[k].blank]
+    for x in furniture:
+        a, b = beside(x.no, -1), beside(x.no, 1)
+        open_before = a is not None and not a.blank and a.text.rstrip()[-1:] not in ".!?:"
+        x.interrupts = bool(open_before and b is not None and b.text.lstrip()[:1].islower())
+        near = [lines[k] for k in range(max(0, x.no - 2), min(n, x.no + 3)) if k != x.no and not lines[k].blank]
+        x.edge = x.interrupts or x.number or any(y.page or _prose(y) for y in near)
+        if x.page and not x.interrupts and x.no not in in_sequence and (n < 3 or _PAGE.match(x.text)["bare"]):
+            # a lone bare number needs prose or furniture beside it
             x.page = any(len(y.text.split()) >= 4 and not _LIST.match(y.text) or y.shape for y in near)
     return lines
 
 
 def splits_of(lines: list[Line]) -> list[tuple[int, str, str, int]]:
-    """(line, left part, right part, line of the right part) of words cut at a line end."""
-    out = []
-    for x in lines:
-        if x.blank or x.page or not (m := _CUT.search(x.text)):
+    """(line, left part, right part, line of the right part) of words cut at a line end; furniture may stand between."""
+    out: list[tuple[int, str, str, int]] = []
+    open_cuts: list[tuple[Line, re.Match]] = []
+    for y in lines:
+        if y.blank or y.page or y.shape:
+            if not y.blank and not y.page and (m := _CUT.search(y.text)):
+                open_cuts.append((y, m))
             continue
-        for y in lines[x.no + 1 : x.no + 6]:
-            if y.blank or y.page or y.shape or not (r := _FIRST.match(y.text)):
-                continue
-            if r["right"][:1].isupper() and not x.text.isupper():
-                continue
-            out.append((x.no, m["left"].lower().replace("\u00ad", ""), r["right"].lower().rstrip("!"), y.no))
-            break
-    return out
+        r = _FIRST.match(y.text) if open_cuts else None
+        if r:
+            upper = r["right"][:1].isupper()
+            taken = [(x, m) for x, m in open_cuts if not upper or x.text.isupper()]
+            out += [(x.no, m["left"].lower().replace("\u00ad", ""), r["right"].lower().rstrip("!"), y.no) for x, m in taken]
+            if not y.candidate:  # a line of text: what it doesn't take up stays open no longer
+                taken = open_cuts
+            open_cuts = [c for c in open_cuts if c not in taken]
+        if m := _CUT.search(y.text):
+            open_cuts.append((y, m))
+    return sorted(out)
 
 
 def undone(word: str) -> set[str]:
@@ -176,49 +215,73 @@ def _sections(sections: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return sections.select(F.col(id_col).cast("bigint").alias("section_id"), F.col(text_col).cast("string").alias("content")).where((F.length("content") > 0) & F.col("section_id").isNotNull())
 
 
-def vocabulary(sections: DataFrame, id_col: str = "section_id", text_col: str = "content", flush: int = 300_000) -> DataFrame:
-    """word, df: how many sections hold a word (compounds also whole); counted map-side, then summed."""
+def read_lines(sections: DataFrame, id_col: str = "section_id", text_col: str = "content", longest: int = 64) -> DataFrame:
+    """section_id, signs, words, at of every section with content, from one reading of its text.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
-        for df in frames:
-            for text in df["content"]:
-                words: set[str] = set()
-                after = False
-                for line in _EOL.split(text):
-                    whole = _CUT.sub("", line)
-                    if after and line.strip():  # the second part of a cut word is no word
-                        whole = _FIRST.sub("", whole, count=1)
-                    after = whole != line if line.strip() else after
-                    words.update(tokens(whole))
-                    words.update(w for w in (x.strip(_STRIP) for x in whole.lower().split()) if "-" in w)
-                seen.update(w for w in words if len(w) < 64)
-            if len(seen) > flush:
-                yield pd.DataFrame(list(seen.items()), columns=["word", "n"])
-                seen.clear()
-        if seen:
-            yield pd.DataFrame(list(seen.items()), columns=["word", "n"])
-
-    part = _sections(sections, id_col, text_col).select("content").mapInPandas(run, "word string, n bigint")
-    return part.groupBy("word").agg(F.sum("n").alias("df"))
-
-
-_SIGNS = "section_id bigint, kind string, line bigint, a string, b string, at bigint"
-
-
-def find_noise(sections: DataFrame, id_col: str = "section_id", text_col: str = "content", common: int = 50_000, ratio: int = 20, least: int = 5) -> DataFrame:
+    signs: struct(kind, line, a, b, at) of page numbers, lines that may be running heads, and words
+    cut at a line end; words: the different words and, with ``at`` -1, compounds, ``at``: the line where a word first
+    stands. Runs of over ``longest`` letters are no words.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        sign = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                signs: list[tuple] = []
+                words: list[str] = []
+                at: list[int] = []
+                ends, stops = [0], [0]
+                for text in part.column(1).to_pylist():
+                    lines = lines_of(text)
+                    splits = splits_of(lines)
+                    after = {no for *_, no in splits}
+                    first: dict[str, int] = {}
+                    for x in lines:
+                        if x.page:
+                            signs.append(("page_no", x.no, x.text, "", -1))
+                        elif x.candidate:
+                            signs.append(("shape" if x.shape and x.edge else "line", x.no, fold(x.core), "1" if x.interrupts else "0", int(x.number)))
+                        if not x.page and not x.blank:
+                            line = _CUT.sub("", x.text)
+                            if x.no in after:
+                                line = _FIRST.sub("", line, count=1)
+                            for w in tokens(line):
+                                if len(w) < longest:
+                                    first.setdefault(w, x.no if len(w) >= 3 else -1)
+                            if "-" in line:
+                                for w in line.lower().split():
+                                    if "-" in w and len(c := w.strip(_STRIP)) < longest and "-" in c:
+                                        first.setdefault(c, -1)
+                    signs += [("split", *x) for x in ((n, a, b, no) for n, a, b, no in splits)]
+                    words += first
+                    at += first.values()
+                    ends.append(len(signs))
+                    stops.append(len(words))
+                columns = zip(*signs, strict=True) if signs else [[]] * 5
+                struct = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, sign, strict=True)], names=["kind", "line", "a", "b", "at"])
+                stop = pa.array(stops, pa.int32())
+                listed = [part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct), pa.ListArray.from_arrays(stop, pa.array(words, pa.string())), pa.ListArray.from_arrays(stop, pa.array(at, pa.int64()))]
+                yield pa.RecordBatch.from_arrays(listed, names=["section_id", "signs", "words", "at"])
+
+    shape = "section_id bigint, signs array<struct<kind:string,line:bigint,a:string,b:string,at:bigint>>, words array<string>, at array<bigint>"
+    return _sections(sections, id_col, text_col).mapInArrow(run, shape)
+
+
+def find_noise(sections: DataFrame, id_col: str = "section_id", text_col: str = "content", ratio: int = 20, least: int = 5) -> DataFrame:
     """All noise of all sections: section_id, kind (hyphen, ocr_char, header, page_no), line, a, b, at.
 
     a is what stands in the text, b what it should be, at the line of a word's second part. Null
     and empty contents and rows without an id have none; repeated sections are treated each; other
-    columns are ignored.
-    ``common`` bounds the list of most frequent words that is sent to the tasks to spare the
-    shuffle rows that can't be misread; it changes no result, as frequent words that turn into a
-    word ``ratio`` times as frequent are not on the list. ``ratio`` and ``least``: a word is misread
-    if the word it may stand for is in at least ``least`` and ``ratio`` times as many sections.
+    columns are ignored. ``ratio`` and ``least``: a word is misread if the word it may stand for is in
+    at least ``least`` and ``ratio`` times as many sections.
     """
-    vocab = checkpoint(vocabulary(sections, id_col, text_col))
-    known = vocab.select(F.col("word").alias("fixed"), F.col("df").alias("fixed_df"))
+    read = checkpoint(read_lines(sections, id_col, text_col))
+    vocab = checkpoint(read.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    known = vocab.select(F.col("word").alias("fixed"), F.col("df").alias("fixed_df")).where(F.col("fixed_df") >= least)
+    signs = read.select("section_id", F.explode("signs").alias("s")).select("section_id", "s.*")
 
     def undo(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
@@ -228,39 +291,7 @@ def find_noise(sections: DataFrame, id_col: str = "section_id", text_col: str =
     def meant(words: DataFrame) -> DataFrame:
         """word, n, fixed, fixed_df of the words (word, n) that are misread."""
         tried = words.mapInPandas(undo, "word string, n bigint, fixed string").join(known, "fixed")
-        return tried.where((F.col("fixed_df") >= least) & (F.col("fixed_df") >= ratio * F.col("n")))
-
-    often = vocab.where(F.col("df") > least * ratio)
-    often = often.join(meant(often.select("word", F.col("df").alias("n"))).select("word"), "word", "left_anti")
-    frequent = frozenset(r[0] for r in often.orderBy(F.desc("df"), "word").limit(common).collect())
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            got = []
-            for i, text in zip(df["section_id"], df["content"], strict=True):
-                lines = lines_of(text)
-                splits = splits_of(lines)
-                after = {at for *_, at in splits}
-                rare: dict[str, int] = {}
-                for x in lines:
-                    if x.page:
-                        got.append((i, "page_no", x.no, x.text, "", -1))
-                    elif x.shape:
-                        got.append((i, "header", x.no, x.core, "", -1))
-                        if x.number:
-                            got.append((i, "page_no", x.no, x.text, "", -1))
-                    elif x.candidate:
-                        got.append((i, "line", x.no, fold(x.core), "1" if x.interrupts else "0", int(x.number)))
-                    if not x.page and not x.blank:
-                        text = _CUT.sub("", x.text)
-                        for w in tokens(_FIRST.sub("", text, count=1) if x.no in after else text):
-                            if w not in frequent and w not in rare and 3 <= len(w) < 40:
-                                rare[w] = x.no
-                got += [(i, "word", n, w, "", -1) for w, n in rare.items()]
-                got += [(i, "split", n, a, b, at) for n, a, b, at in splits]
-            yield pd.DataFrame(got, columns=["section_id", "kind", "line", "a", "b", "at"])
-
-    signs = checkpoint(_sections(sections, id_col, text_col).mapInPandas(run, _SIGNS))
+        return tried.where(F.col("fixed_df") >= ratio * F.col("n"))
 
     # Words cut at a line end: which of joined word and compound does the corpus know better?
     pairs = signs.where("kind = 'split'").select("a", "b").distinct().select("a", "b", F.concat("a", "b").alias("joined"), F.concat_ws("-", "a", "b").alias("compound"))
@@ -268,27 +299,28 @@ def find_noise(sections: DataFrame, id_col: str = "section_id", text_col: str =
     pairs = pairs.join(count("joined"), "joined", "left").join(count("compound"), "compound", "left").join(count("a"), "a", "left").join(count("b"), "b", "left")
     pairs = checkpoint(pairs.fillna(0, ["n_joined", "n_compound", "n_a", "n_b"]))
     # Misread words, rare ones of the lines and unknown joined ones alike.
-    odd = signs.where("kind = 'word'").select(F.col("a").alias("word")).distinct().join(vocab, "word").select("word", F.col("df").alias("n"))
-    odd = odd.unionByName(pairs.where("n_joined < n_compound + 2").select(F.col("joined").alias("word"), F.col("n_joined").alias("n")).distinct())
+    odd = vocab.where(F.length("word") >= 3).select("word", F.col("df").alias("n")).unionByName(pairs.where("n_joined < n_compound + 2").select(F.col("joined").alias("word"), F.col("n_joined").alias("n")).distinct())
     misread = checkpoint(meant(odd).groupBy("word").agg(F.max_by("fixed", F.struct("fixed_df", "fixed")).alias("fixed")))
-    words = signs.where("kind = 'word'").join(misread, F.col("a") == F.col("word")).select("section_id", F.lit("ocr_char").alias("kind"), "line", "a", F.col("fixed").alias("b"), "at")
+    each = read.select("section_id", F.explode(F.arrays_zip("words", "at")).alias("w")).select("section_id", F.col("w.words").alias("word"), F.col("w.at").alias("line")).where("line >= 0")
+    words = each.join(misread, "word").select("section_id", F.lit("ocr_char").alias("kind"), "line", F.col("word").alias("a"), F.col("fixed").alias("b"), F.lit(-1).cast("bigint").alias("at"))
     judged = pairs.join(misread.withColumnRenamed("word", "joined"), "joined", "left")
     cut = (F.col("n_joined") > F.col("n_compound")) | ((F.col("n_compound") == 0) & (F.col("fixed").isNotNull() | ~((F.col("n_a") >= least) & (F.col("n_b") >= least))))
     judged = judged.where(cut & ~F.col("b").isin("and", "or", "to", "und", "et", "y")).select("a", "b", F.coalesce("fixed", "joined").alias("whole"), F.col("fixed").isNotNull().alias("misread"))
     parts = signs.where("kind = 'split'").join(judged, ["a", "b"])
     hyphens = parts.select("section_id", F.lit("hyphen").alias("kind"), "line", F.concat_ws("-", "a", "b").alias("a"), F.col("whole").alias("b"), "at")
     cut_misread = parts.where("misread").select("section_id", F.lit("ocr_char").alias("kind"), "line", F.concat_ws("-", "a", "b").alias("a"), F.col("whole").alias("b"), "at")
-    # Running heads by fuzzy repetition: lines that interrupt sentences and have words of their own.
-    seen = signs.where("kind = 'line'")
+    # Running heads by fuzzy repetition: lines that interrupt sentences and have words of their own. A line in the shape
+    # of one that stands at an edge needs no repetition.
+    seen = signs.where("kind in ('line', 'shape')")
     keys = seen.groupBy("a").agg(F.countDistinct("section_id").alias("n"), F.count(F.lit(1)).alias("times"), F.sum(F.col("b").cast("int")).alias("interrupts"))
     keys = keys.where("times >= 2 and interrupts > 0 and interrupts >= 0.25 * times")
     folded = _folded(vocab)
     own = keys.select("a", "n", F.explode(F.split("a", r"[\s#\-–—/.,;:()]+")).alias("w")).where(F.length("w") >= 4).join(folded.withColumnRenamed("word", "w"), "w")
     heads = own.groupBy("a").agg(F.min(F.col("df") / F.col("n")).alias("least")).where("least <= 1.5").select("a")
-    found = seen.join(heads, "a", "left_semi")
+    found = seen.join(heads.withColumn("repeats", F.lit(True)), "a", "left").where(F.col("repeats") | (F.col("kind") == "shape"))
     headers = found.select("section_id", F.lit("header").alias("kind"), "line", "a", F.lit("").alias("b"), F.lit(-1).cast("bigint").alias("at"))
     numbers = found.where("at = 1").select("section_id", F.lit("page_no").alias("kind"), "line", "a", F.lit("").alias("b"), F.lit(-1).cast("bigint").alias("at"))
-    plain = signs.where("kind in ('header', 'page_no')")
+    plain = signs.where("kind = 'page_no'")
     lines = plain.unionByName(headers).unionByName(numbers)
     return lines.unionByName(hyphens).unionByName(words).unionByName(cut_misread).select("section_id", "kind", "line", "a", "b", "at")
 

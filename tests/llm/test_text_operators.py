@@ -77,6 +77,17 @@ def test_scan_noise(spark):
     assert scans.find_noise(df.limit(0)).count() == 0
 
 
+def test_number_sequences_and_edges():
+    page = lambda text: [x.text for x in scans.lines_of(text) if x.page]
+    assert page("a = 1\n\n17\n\nb = 2\n\n18\n\nc = 3") == ["17", "18"]  # no prose near, but they count up
+    assert page("a = 1\n\n17\n\nb = 2\n\n90\n\nc = 3") == []
+    assert page("The grains of all samples grow.\n17") == ["17"] and page("17") == [] and page("[17]") == []
+    assert [scans.number_of(x) for x in ("- l54 -", "xiv", "page 12 of 90", "—", "IX")] == [154, 14, 12, None, 9]
+    lines = scans.lines_of("x = 1\n\nHARD MAGNETS\n\ny = 2\n\n\nThe grains of all samples grow.\nHARD MAGNETS\nand they stay.")
+    assert [x.edge for x in lines if x.shape] == [False, True]
+    assert scans.splits_of(scans.lines_of("they were calcu-\n\n\n\n\n\n\nlated twice")) == [(0, "calcu", "lated", 7)]
+
+
 LEVEL = {1: ["The magnet can pull the big red key.", "We put it on the desk."], 2: ["The company wants to sell a cheaper motor before the end of the year.", "Makers say the price of the metal has gone up again."], 3: ["The average grain size is estimated from the width of the diffraction peak.", "The curve is fitted with a straight line in the linear region."], 4: ["Magnetocrystalline anisotropy renormalises the interfacial exchange stiffness.", "Deconvolution of hyperfine distributions corroborates sublattice canting."]}
 
 
