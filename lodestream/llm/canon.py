@@ -17,123 +17,41 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.session import checkpoint
-
-# ---- fixed values: other names in general use, by entry ----
-ALIASES = """
-barium hexaferrite: BaM; barium ferrite M-type; barium ferrite magnetoplumbite
-strontium hexaferrite: SrM; strontium ferrite M-type; strontium ferrite magnetoplumbite
-cobalt ferrite: cobalt iron oxide spinel; CFO
-nickel ferrite: nickel iron oxide spinel; NFO
-copper ferrite: copper iron oxide spinel
-manganese zinc ferrite: Mn-Zn ferrite; zinc manganese ferrite
-nickel zinc ferrite: Ni-Zn ferrite; zinc nickel ferrite
-bismuth ferrite: bismuth iron oxide perovskite; bismuth iron oxide
-yttrium iron garnet: yttrium ferrite garnet
-magnetite: iron(II,III) oxide; ferrous ferric oxide; black iron oxide; lodestone
-maghemite: gamma ferric oxide; gamma iron oxide; gamma-Fe2O3; γ iron(III) oxide
-hematite: alpha ferric oxide; alpha iron oxide; alpha-Fe2O3; haematite; red iron oxide
-goethite: alpha iron oxyhydroxide; alpha-FeOOH; alpha ferric oxyhydroxide
-samarium cobalt magnet: Sm-Co magnet; samarium cobalt; SmCo magnet; Sm2Co17
-neodymium iron boron magnet: Nd-Fe-B magnet; neodymium magnet; NdFeB magnet
-alnico alloy: Al-Ni-Co alloy; aluminium nickel cobalt alloy; alnico
-iron platinum alloy: Fe-Pt alloy; iron platinum
-permalloy: soft nickel iron alloy; nickel iron alloy
-manganese bismuth: Mn-Bi intermetallic; bismuth manganese intermetallic
-manganese aluminium: Mn-Al intermetallic; manganese aluminum
-iron nitride: nitrided iron
-silicon steel: electrical steel; ferrosilicon steel; Si steel
-barium titanate: barium titanium oxide
-strontium titanate: strontium titanium oxide
-lead zirconate titanate: lead zirconium titanium oxide; lead titanate zirconate
-lithium cobalt oxide: lithium cobaltate; lithium cobaltite
-lithium iron phosphate: olivine iron phosphate cathode
-lithium manganese oxide: lithium manganate; lithium manganese spinel
-lithium titanate: lithium titanium oxide
-sodium vanadium phosphate: sodium vanadium nasicon
-graphene oxide: oxidised graphene; oxidized graphene
-carbon nanotube: tubular nanocarbon; carbon nanotubes; MWCNT; SWCNT
-activated carbon: porous activated charcoal; activated charcoal; active carbon
-zinc oxide: zincite; zinc white
-titanium dioxide: titania; anatase; rutile; titanium(IV) oxide
-zirconium dioxide: zirconia
-aluminium oxide: alumina; aluminum oxide; corundum
-silicon dioxide: silica; quartz
-silicon carbide: carborundum
-boron nitride: hexagonal BN; white graphite
-tungsten carbide: cemented carbide grain; hardmetal carbide
-molybdenum disulfide: molybdenite; molybdenum sulfide
-polyvinyl alcohol: poly(vinyl alcohol); PVOH
-polyvinylidene fluoride: poly(vinylidene fluoride)
-polyethylene glycol: poly(ethylene glycol); polyethylene oxide; macrogol
-citric acid: 2-hydroxypropane-1,2,3-tricarboxylic acid
-ferric nitrate: iron(III) nitrate; iron nitrate
-barium carbonate: witherite
-strontium carbonate: strontianite
-sodium hydroxide: caustic soda; lye
-ammonium hydroxide: aqueous ammonia; ammonia water; ammonia solution
-lanthanum strontium manganite: La-Sr manganite; lanthanum strontium manganese oxide
-sol-gel synthesis: gelation route; sol-gel route; sol-gel process
-coprecipitation: simultaneous precipitation; co-precipitation
-hydrothermal synthesis: autoclave water synthesis; hydrothermal route
-solid state reaction: conventional mixed-oxide method; solid state route; mixed oxide route
-spark plasma sintering: field assisted sintering
-high energy ball milling: mechanical milling; ball milling
-combustion synthesis: self-propagating combustion; solution combustion
-molten salt synthesis: flux salt route; molten salt route
-spray pyrolysis: spray thermolysis
-pulsed laser deposition: laser ablation deposition
-magnetron sputtering: sputter deposition
-chemical vapour deposition: gas phase chemical deposition; chemical vapor deposition
-atomic layer deposition: layer by layer gas deposition
-electrospinning: fibre spinning under voltage; electrically driven fibre spinning
-x-ray diffraction: powder diffractometry; XRPD
-scanning electron microscopy: secondary electron imaging; FESEM
-transmission electron microscopy: bright field electron transmission imaging; HRTEM
-vibrating sample magnetometry: vibrating magnetometer measurement
-differential scanning calorimetry: scanning heat flow analysis; heat flow calorimetry
-thermogravimetric analysis: thermal weight loss analysis; thermogravimetry
-density functional theory: first principles calculation; first principles Kohn-Sham calculation
-neutron diffraction: neutron powder scattering
-raman spectroscopy: inelastic light scattering
-cyclic voltammetry: triangular potential sweep
-micromagnetic simulation: Landau-Lifshitz modelling
-x-ray photoelectron spectroscopy: ESCA; electron spectroscopy for chemical analysis
-ferromagnetic resonance: microwave resonance absorption
-rietveld refinement: whole pattern fitting
-infrared spectroscopy: Fourier transform IR; IR spectroscopy
-impedance spectroscopy: AC impedance analysis
-coercivity: coercive field; coercive force; coercive field strength
-remanence: remanent magnetisation; remanent magnetization; residual magnetization; retentivity
-saturation magnetization: saturated moment per mass; saturation magnetisation
-maximum energy product: peak energy product
-curie temperature: ferromagnetic transition temperature; curie point
-blocking temperature: superparamagnetic freezing temperature
-anisotropy field: anisotropic field strength
-initial permeability: low-field permeability
-squareness ratio: loop squareness; squareness
-crystallite size: coherent domain size; crystallite diameter
-grain size: average grain dimension; grain diameter
-lattice parameter: unit cell edge; lattice constant; cell parameter
-electrical resistivity: DC resistivity; resistivity
-dielectric constant: relative permittivity; permittivity
-specific capacity: gravimetric capacity
-coulombic efficiency: charge efficiency; coulomb efficiency
-cycle life: number of usable cycles; cyclability
-specific surface area: surface per gram; BET surface area
-magnetic susceptibility: field susceptibility
-reflection loss: microwave absorption loss
-thermal conductivity: heat conductivity
-vickers hardness: indentation hardness; vickers microhardness
-"""
+from lodestream.session import checkpoint, parallelism
+
+# ---- fixed values: words about form, look-alike letters ----
 #: Words about form, origin or circumstance.
 FORMS = frozenset(
     "a an the of in at as by for from with and on to our pure film films thin thick powder powders pellet pellets bulk nanoparticle nanoparticles particle particles nanopowder precursor received commercial grade purity wt vol mol percent rt measured measurement measurements exp experimental avg average mean value values technique method methods route process house si see fig table ref nominal approx ca mg g kg ml doped undoped annealed layer coating crystal single "
     "polycrystalline nanocrystalline nano nanostructured ingot target substrate high fresh prepared synthesised synthesized calculated theoretical typical standard dried ground".split()
 )
 HOMOGLYPHS = str.maketrans("аеорсхуіѕԁһкмнтвАЕОРСХУІЅКМНТВ", "aeopcxyisdhkmhtbAEOPCXYISKMHTB")
+#: Chemical elements in order of their number: symbol and name.
+ELEMENTS = dict(
+    x.split(":") for x in (
+        "h:hydrogen he:helium li:lithium be:beryllium b:boron c:carbon n:nitrogen o:oxygen f:fluorine ne:neon na:sodium mg:magnesium al:aluminium si:silicon p:phosphorus s:sulphur cl:chlorine ar:argon k:potassium ca:calcium "
+        "sc:scandium ti:titanium v:vanadium cr:chromium mn:manganese fe:iron co:cobalt ni:nickel cu:copper zn:zinc ga:gallium ge:germanium as:arsenic se:selenium br:bromine kr:krypton rb:rubidium sr:strontium y:yttrium zr:zirconium "
+        "nb:niobium mo:molybdenum tc:technetium ru:ruthenium rh:rhodium pd:palladium ag:silver cd:cadmium in:indium sn:tin sb:antimony te:tellurium i:iodine xe:xenon cs:caesium ba:barium la:lanthanum ce:cerium pr:praseodymium "
+        "nd:neodymium pm:promethium sm:samarium eu:europium gd:gadolinium tb:terbium dy:dysprosium ho:holmium er:erbium tm:thulium yb:ytterbium lu:lutetium hf:hafnium ta:tantalum w:tungsten re:rhenium os:osmium ir:iridium "
+        "pt:platinum au:gold hg:mercury tl:thallium pb:lead bi:bismuth th:thorium u:uranium"
+    ).split()
+)
+#: Names of valences.
+VALENCES = {("iron", "ii"): "ferrous", ("iron", "iii"): "ferric", ("copper", "i"): "cuprous", ("copper", "ii"): "cupric", ("tin", "ii"): "stannous", ("tin", "iv"): "stannic", ("cobalt", "ii"): "cobaltous", ("cobalt", "iii"): "cobaltic", ("chromium", "iii"): "chromic", ("mercury", "ii"): "mercuric"}
 # ---- end of fixed values ----
 
+_OXIDES = {re.sub(r"(?:um|on)$", "a", n): n for n in [*ELEMENTS.values(), "aluminum"] if re.search(r"(?:um|on)$", n)}
+_SYMBOLS = re.compile(r"(?<![^\W_])[a-z]{1,2}(?:-[a-z]{1,2})+(?![^\W_])")
+_VALENCE = re.compile(r"\b([a-z]+) ?\((i{1,3}|iv)\)")
+
+
+def spelled_out(s: str) -> str:
+    """A clean name with hyphened element symbols, valences and oxide names ("fe-pt", "iron(iii)", "titania") in words."""
+    s = _SYMBOLS.sub(lambda m: " ".join(ELEMENTS[x] for x in m[0].split("-")) if all(x in ELEMENTS for x in m[0].split("-")) else m[0], s)
+    s = _VALENCE.sub(lambda m: VALENCES.get((m[1], m[2]), m[0]), s)
+    return " ".join(f"{_OXIDES[w]} oxide".replace("aluminum", "aluminium") if w in _OXIDES else w for w in s.split(" "))
+
+
 _TAG = re.compile(r"</?(?:sub|sup|i|b|em|strong|span)\b[^<>]*>", re.I)
 _LATEX = re.compile(r"\\(?:mathrm|text|ce|mathit|rm)\b|[${}\\]|_(?=\{?\d)|\^(?=\{?\d)")
 _BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
@@ -171,6 +89,8 @@ def variants(value: str) -> list[list[str]]:
         parts += [_WHERE.sub(" ", x) for x in parts]
     if re.search(r"[01]", s) and not re.search(r"[2-9]", s):
         parts.append(s.replace("0", "o").replace("1", "l"))
+    if (t := spelled_out(s)) != s:
+        parts.append(t)
     if m := re.fullmatch(r"(.+?),\s*([^,\d%]+)", _BRACKETS.sub(" ", s).strip()):
         parts.append(f"{m[2]} {m[1]}")
     for p in parts:
@@ -188,6 +108,11 @@ def osa(a: str, b: str, most: int = 3) -> int:
     """Edit distance with swaps of neighbours, cut off above ``most``."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    n = min(len(a), len(b))
+    k = next((k for k in range(n) if a[k] != b[k]), n)
+    a, b, n = a[k:], b[k:], n - k
+    k = next((k for k in range(n) if a[-1 - k] != b[-1 - k]), n)
+    a, b = a[: len(a) - k], b[: len(b) - k]
     two, one = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         now = [i]
@@ -202,39 +127,53 @@ def osa(a: str, b: str, most: int = 3) -> int:
     return one[-1]
 
 
+LONG = 16
+
+
 def allowed(word: str) -> int:
-    """Edits that a reference word forgives; formulas and abbreviations none."""
+    """Edits that a reference word forgives; formulas and abbreviations none. From ``LONG`` letters a swap counts as two."""
     if re.search(r"\d", word) or len(word) < 4:
         return 0
-    return 1 if len(word) == 4 else 2 if len(word) < 16 else 3
+    return 1 if len(word) == 4 else 2 if len(word) < LONG else 3
 
 
 def deletions(word: str, k: int) -> set[str]:
-    """The word with up to k (at most 2) letters left out."""
+    """The word with up to k letters left out."""
     out = {word}
-    for _ in range(min(k, 2)):
+    for _ in range(k):
         out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
     return out
 
 
+def quarters(word: str) -> list[str]:
+    """Keys of a long reference word: its four quarters. Three edits leave one of them whole."""
+    n = len(word)
+    return [f"{n}.{p}.{word[p * n // 4 : (p + 1) * n // 4]}" for p in range(4)]
+
+
+def quarter_places(token: str) -> set[str]:
+    """Keys under which a token may meet a long word within three edits: each quarter up to three letters off its place."""
+    out = set()
+    for n in range(max(LONG, len(token) - 3), len(token) + 4):
+        for p in range(4):
+            a, b = p * n // 4, (p + 1) * n // 4
+            out |= {f"{n}.{p}.{token[k : k + b - a]}" for k in range(max(0, a - 3), a + 4) if k + b - a <= len(token)}
+    return out
+
+
 def names(entities: DataFrame) -> DataFrame:
     """canon_id, name_id, name tokens of every name (given, synonym, general alias) and its squashed form."""
-    aliases: dict[str, list[str]] = {}
-    for line in ALIASES.strip().splitlines():
-        key, _, rest = line.partition(": ")
-        aliases[clean(key)] = rest.split("; ")
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             got = []
             for i, name, synonyms in zip(df["canon_id"], df["canon_name"], df["synonyms"], strict=True):
-                every = [name, *(synonyms if synonyms is not None else []), *aliases.get(clean(name or ""), [])]
+                every = [name, *(synonyms if synonyms is not None else [])]
                 seen = set()
                 for x in every:
                     if not x:
                         continue
                     t = _TOKEN.findall(clean(x))
-                    for u in (t, ["".join(t)]):
+                    for u in (t, ["".join(t)], _TOKEN.findall(spelled_out(clean(x)))):
                         if u and tuple(u) not in seen:
                             seen.add(tuple(u))
                             got.append((i, " ".join(u), u))
@@ -244,37 +183,43 @@ def names(entities: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["canon_id", "name"])
 
 
-def _keys(df: DataFrame, column: str, keep: str) -> DataFrame:
-    """Deletion keys of the distinct words in a column."""
+def _keys(df: DataFrame, column: str, keys) -> DataFrame:
+    """column, key: the distinct words in a column and what they meet others by."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in frames:
-            got = [(w, k) for w in part[column] for k in (deletions(w, allowed(w)) if len(w) < 60 else {w})]
-            yield pd.DataFrame(got, columns=[keep, "key"])
+            yield pd.DataFrame([(w, k) for w in part[column] for k in keys(w)], columns=[column, "key"])
 
-    return df.select(column).distinct().mapInPandas(run, f"{keep} string, key string")
+    return df.select(column).distinct().mapInPandas(run, f"{column} string, key string")
 
 
 def repair_tokens(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """token, word, sim: each distinct token with the nearest reference words (all of those at the least distance).
 
-    Tokens meet words on shared deletion keys; a token that is a word keeps to it. Formulas and
-    abbreviations (figures, under 4 letters) are never repaired.
+    Tokens meet words of up to 15 letters on deletion keys, longer ones on their quarters; no pair
+    within the distance that ``allowed`` grants can miss. A token that is a word keeps to it.
+    Formulas and abbreviations (figures, under 4 letters) are never repaired.
     """
-    pairs = _keys(tokens, "token", "token").join(_keys(words, "word", "word"), "key").select("token", "word").distinct()
+    whole = tokens.select("token").distinct().join(words.select(F.col("word").alias("token")).distinct(), "token")
+    exact = whole.select("token", F.col("token").alias("word"), F.lit(1.0).alias("sim"))
+    open_tokens = tokens.select("token").distinct().join(whole, "token", "left_anti").where((F.length("token") > 3) & ~F.col("token").rlike(r"\d") & ~F.col("token").isin(*sorted(FORMS)))
+    short_keys = lambda w: deletions(w, min(2, allowed(w))) if len(w) < LONG + 2 else ()
+    short = words.where(F.length("word") < LONG)
+    near = _keys(open_tokens, "token", short_keys).join(_keys(short, "word", lambda w: deletions(w, allowed(w))), "key").select("token", "word").distinct()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            got = []
-            for t, w in zip(df["token"], df["word"], strict=True):
-                d = osa(t, w)
-                if d <= allowed(w) and (d == 0 or (len(t) > 3 and t not in FORMS)):
-                    got.append((t, w, d, 1.0 - d / max(len(t), len(w))))
+            got = [(t, w, d, 1.0 - d / max(len(t), len(w))) for t, w in zip(df["token"], df["word"], strict=True) if (d := osa(t, w)) <= allowed(w)]
             yield pd.DataFrame(got, columns=["token", "word", "d", "sim"])
 
-    near = pairs.mapInPandas(run, "token string, word string, d int, sim double")
+    near = near.repartition(parallelism(tokens.sparkSession)).mapInPandas(run, "token string, word string, d int, sim double")
+    long = words.where((F.length("word") >= LONG) & ~F.col("word").rlike(r"\d"))
+    met = _keys(open_tokens.where(F.length("token") >= LONG - 3), "token", quarter_places).join(_keys(long, "word", quarters), "key").select("token", "word").distinct()
+    d = F.levenshtein("token", "word", 3)
+    far = met.withColumn("d", d).where("d >= 0").withColumn("sim", 1.0 - F.col("d") / F.greatest(F.length("token"), F.length("word")))
+    near = checkpoint(near.unionByName(far.select("token", "word", "d", "sim")))
     best = near.groupBy("token").agg(F.min("d").alias("d"))
-    return near.join(best, ["token", "d"]).select("token", "word", "sim")
+    return exact.unionByName(near.join(best, ["token", "d"]).select("token", "word", "sim"))
 
 
 def map_values(values: DataFrame, entities: DataFrame, least: float = 0.8, many: int = 12) -> DataFrame:
@@ -301,7 +246,7 @@ def map_values(values: DataFrame, entities: DataFrame, least: float = 0.8, many:
     tokens = cuts.select("value", "variant", F.explode(F.array_distinct("tokens")).alias("token"))
     repaired = checkpoint(repair_tokens(tokens.select("token"), idf).join(idf, "word"))
     # Words that stand with many entries are circumstance: count the entries of the other tokens.
-    one = tokens.join(F.broadcast(repaired.where("sim = 1.0").select("token", "word")), "token").join(words.select("word", "canon_id"), "word")
+    one = tokens.join(repaired.where("sim = 1.0").select("token", "word"), "token").join(words.select("word", "canon_id"), "word")
     beside = tokens.join(repaired.select("token").distinct(), "token", "left_anti").select("value", "token").distinct()
     loose = beside.join(one.select("value", "canon_id").distinct(), "value").groupBy("token").agg(F.countDistinct("canon_id").alias("n"), F.countDistinct("value").alias("m"))
     loose = loose.where((F.col("n") >= many) & (F.col("m") >= many)).select("token", F.lit(True).alias("loose"))
