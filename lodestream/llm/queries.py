@@ -23,6 +23,12 @@ def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select("a", "b", F.round("confidence", 6).alias("confidence"))
 
 
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node that stands for each record in p2_links: records of equal canonical fields have one."""
+    members, _ = linkage.match_nodes(table(spark, sf_dir, "candidate_paper"), table(spark, sf_dir, "canon_entity"))
+    return members.select("cand_id", "node")
+
+
 def _mapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = canon.typed_values(table(spark, sf_dir, "graph_edge"), table(spark, sf_dir, "layout_node"))
     return rows, canon.map_values(rows, table(spark, sf_dir, "canon_entity"))
@@ -96,7 +102,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p2_found, p2_links, p4_found, p4_values, p5_found, p5_pieces, p6_found, p6_defects, p7_found, p7_repaired, p8_ids, p9_found, p9_placement, p10_found)
+    every = (p2_found, p2_links, p2_members, p4_found, p4_values, p5_found, p5_pieces, p6_found, p6_defects, p7_found, p7_repaired, p8_ids, p9_found, p9_placement, p10_found)
     return {f.__name__: f for f in every}
 
 
