@@ -71,3 +71,22 @@ def test_spellings_directions_and_names(spark):
     assert rows(kind_links(e)) == sorted([("p", "a b", "top"), ("p", "c", "top"), ("p", "self", "self")])
     assert rows(depths(kind_links(e))) == sorted([("p", "a b", "top", 1), ("p", "c", "top", 1), ("p", "top", "top", 0), ("p", "self", "", -1)])
     assert hierarchy.peel([])[0] == []
+
+
+def test_large_hierarchies_equal_local(spark):
+    links = [(g, a, b) for g in "pq" for a, b in graph(ord(g), 14, 15)] + [("r", f"c{k}", f"c{k + 1}") for k in range(6)] + [("s", "a", "b"), ("s", "b", "c"), ("s", "c", "a"), ("s", "d", "c"), ("s", "e", "e")]
+    df = spark.createDataFrame(links, "grp string, child string, parent string")
+    assert rows(hierarchies(df, local_edges=3)) == rows(hierarchies(df))
+    assert rows(large_depths(df, local_edges=0)) == rows(depths(df))
+
+
+def test_long_chains_and_large_groups(spark):
+    deep, wide = 200_000, 300_000
+    chain = spark.range(deep).selectExpr("'deep' AS grp", "concat('n', id) AS child", "concat('n', id + 1) AS parent")
+    tree = spark.range(1, wide + 1).selectExpr("'wide' AS grp", "concat('m', id) AS child", "concat('m', id div 3) AS parent")
+    ring = spark.createDataFrame([("wide", "x", "y"), ("wide", "y", "x"), ("wide", "z", "y"), ("wide", "z", "m0")], "grp string, child string, parent string")
+    got = depths(chain.union(tree).union(ring)).cache()
+    assert got.where("grp = 'deep'").selectExpr("count(*)", "min(root)", "max(root)", "count_if(depth = 200000 - cast(substr(node, 2) AS int))").first() == (deep + 1, "n200000", "n200000", deep + 1)
+    assert got.where("grp = 'wide' and root = 'm0'").count() == wide + 1
+    assert rows(got.where("root = ''").select("node", "depth")) == [("x", -1), ("y", -1), ("z", -1)]
+    assert rows(got.where("node in ('m3', 'm300000')").select("node", "depth")) == [("m3", 2), ("m300000", 12)]
