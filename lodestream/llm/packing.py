@@ -84,15 +84,15 @@ def pack(sizes: DataFrame, capacity: int = 2048, weights: dict[str, float] | Non
     ``shard_containers`` containers, whatever the input, and wastes at most its last one.
     """
     rows = sizes.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n"))
-    rows = checkpoint(rows)
-    pieces = rows.select("doc_id", "source", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0).cast("bigint")))).alias("piece_no"))
-    pieces = pieces.select("doc_id", "piece_no", "source", (F.col("piece_no") * capacity).alias("token_start"), F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("piece_no") * capacity).alias("n_tokens"))
-    lone = F.when(F.col("n_tokens") > 0, F.concat_ws("-", F.lit("d"), F.col("doc_id"), F.col("piece_no")))
+    rows = checkpoint(rows).withColumn("row", F.monotonically_increasing_id())
+    pieces = rows.select("doc_id", "row", "source", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0).cast("bigint")))).alias("piece_no"))
+    pieces = pieces.select("doc_id", "row", "piece_no", "source", (F.col("piece_no") * capacity).alias("token_start"), F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("piece_no") * capacity).alias("n_tokens"))
+    lone = F.when(F.col("n_tokens") > 0, F.concat_ws("-", F.lit("d"), "doc_id", "piece_no", "row"))
     done = pieces.where((F.col("n_tokens") == 0) | (F.col("n_tokens") == capacity)).withColumn("container", lone)
     items = pieces.where((F.col("n_tokens") > 0) & (F.col("n_tokens") < capacity))
     total = rows.where("n > 0").agg(F.sum(F.col("n") % capacity)).first()[0] or 0
     shards = max(1, round(total / (capacity * shard_containers)))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no", "token_start"), F.lit(shards)))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no", "row"), F.lit(shards)))
     # What each source should have sent before a shard, less what it has sent: a sum over at most one row a shard.
     sent = items.groupBy("source", "shard").agg(F.sum("n_tokens").alias("sent"))
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -178,14 +178,14 @@ def defects_of(question: str | None, form: str | None, response: object, stat: b
     return out
 
 
-def abrupt_endings(responses: DataFrame, least: int = 10, share: float = 0.03, short: int = 3) -> DataFrame:
+def abrupt_endings(responses: DataFrame, least: int = 10, share: float = 0.03, short: int = 3, longest: int = 64) -> DataFrame:
     """The distinct texts of ``response`` whose bare ending is abrupt by the statistics of all of them.
 
     Of a text of more than ``short`` words, the last three, two or one words, as the longest run that
     occurs ``least`` times, decide: abrupt if the run ends a text without a full stop in less than
     ``share`` of its occurrences. A shorter text (a name, mostly) is abrupt if, inside other texts, one
     and the same word follows it nine times in ten. A last word that never goes on is abrupt if it
-    begins a word three times as frequent. Repeated texts count as often as they stand there.
+    begins a word (of at most ``longest`` letters) three times as frequent. Repeated texts count as often as they stand there.
     """
     words = F.split(F.trim(F.lower("response")), r"(?U)\s+")
     bare = ~F.col("response").rlike(r"[.!?。！？…][\"”’'»)\]]*\s*$")
@@ -219,7 +219,7 @@ def abrupt_endings(responses: DataFrame, least: int = 10, share: float = 0.03, s
         by_name = got if by_name is None else by_name.union(got)
     single = checkpoint(grams(1))
     stubs = single.where("total = ends and length(gram) >= 1").select("gram", "total")
-    longer = single.where(F.col("total") >= 10).select(F.col("total").alias("full"), F.explode(F.transform(F.sequence(F.lit(1), F.length("gram") - 1), lambda k: F.substring(F.col("gram"), F.lit(1), k))).alias("gram"))
+    longer = single.where((F.col("total") >= 10) & (F.length("gram") <= longest)).select(F.col("total").alias("full"), F.explode(F.transform(F.sequence(F.lit(1), F.length("gram") - 1), lambda k: F.substring(F.col("gram"), F.lit(1), k))).alias("gram"))
     longer = longer.groupBy("gram").agg(F.max("full").alias("full"))
     cut = stubs.join(longer, "gram").where("full >= 3 * total").select("gram")
     by_stub = ends.select("response", F.element_at("w", -1).alias("gram")).join(cut, "gram", "left_semi").select("response")

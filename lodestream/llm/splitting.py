@@ -1,8 +1,9 @@
 """Splitting oversized texts at natural boundaries, by dynamic programming over the boundary positions.
 
-The cost of a split is the sum of its cut penalties (a paragraph end is free, a sentence end costs
-little, a word end more, a place inside a word most) and of the squared deviations of the pieces
-from an even size. Every piece stays within the limit, the overlap counted in.
+The cost of a split is first the sum of its cut penalties (a paragraph end is free, any number of
+sentence ends costs less than one word end, and that less than a place inside a word), then, among
+splits of equal penalty, the sum of the squared deviations of the pieces from an even size. Every
+piece stays within the limit, the overlap counted in.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = ("paragraph", "sentence", "word", "char")
-PENALTY = (0.0, 0.05, 0.4, 2.0)
+PENALTY = (0, 1, 10**6, 10**12)
 _EOL = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
 _PARAGRAPH = re.compile(rf"{_EOL}[^\S\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*{_EOL}\s*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -44,8 +45,8 @@ def boundaries(text: str, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which the text may be cut, and their levels.
 
     Finer levels are opened only where the coarser ones leave a stretch longer than half of
-    ``reach``, so that short units don't swell the programme; inside a word every 32nd place counts,
-    which keeps any text splittable.
+    ``reach``: elsewhere a finer cut is never needed, and it costs more than all coarser ones. In a
+    run without white space every 32nd place counts as one.
     """
     n = len(text)
     level_of: dict[int, int] = {}
@@ -78,20 +79,23 @@ def split_text(text: str, limit: int = 2000, overlap: int = 100) -> list[tuple[i
     pos, level = boundaries(text, reach)
     keep = pos >= min(overlap, reach)  # the first piece has to hold the overlap
     pos, level = np.append(pos[keep], n), np.append(level[keep], 0)
-    pen = np.array(PENALTY)[level]
+    pen = np.array(PENALTY, dtype=np.int64)[level]
     even = n / np.ceil(max(n - overlap, 1) / reach)
     m = len(pos)
-    cost, come = np.full(m, np.inf), np.full(m, -1, dtype=np.int64)
+    never = np.iinfo(np.int64).max // 2
+    paid, uneven, come = np.full(m, never), np.full(m, np.inf), np.full(m, -1, dtype=np.int64)
     first = pos <= limit
-    cost[first] = ((pos[first] - even) / limit) ** 2 + pen[first]
+    paid[first], uneven[first] = pen[first], ((pos[first] - even) / limit) ** 2
     low = np.searchsorted(pos, pos - reach)
     for j in range(m):
         i = low[j]
         if i < j:
-            c = cost[i:j] + ((pos[j] - pos[i:j] - even) / limit) ** 2
+            before = paid[i:j]
+            least = before.min()
+            c = np.where(before == least, uneven[i:j] + ((pos[j] - pos[i:j] - even) / limit) ** 2, np.inf)
             k = int(np.argmin(c))
-            if c[k] + pen[j] < cost[j]:
-                cost[j], come[j] = c[k] + pen[j], i + k
+            if (least + pen[j], c[k]) < (paid[j], uneven[j]):
+                paid[j], uneven[j], come[j] = least + pen[j], c[k], i + k
     cuts, j = [], m - 1
     while j >= 0:
         cuts.append(int(pos[j]))

@@ -66,7 +66,7 @@ def test_round_robin_places_all_and_keeps_the_mix():
 
 def test_pack(spark):
     r = random.Random(5)
-    data = [(k, f"s{k % 3}" if k % 7 else None, r.randrange(0, 400)) for k in range(3000)] + [(9000, "s0", 5000), (9001, "s1", 2048), (9002, "s1", 2049), (9003, "s1", None), (9003, "s1", 10)]
+    data = [(k, f"s{k % 3}" if k % 7 else None, r.randrange(0, 400)) for k in range(3000)] + [(9000, "s0", 5000), (9001, "s1", 2048), (9001, "s1", 2048), (9002, "s1", 2049), (9003, "s1", None), (9003, "s1", 10)]
     df = spark.createDataFrame(data, "doc_id bigint, source string, n_tokens bigint")
     for shards in (1, 50):
         got = pack(df, 2048, shard_containers=shards).collect()

@@ -29,6 +29,16 @@ def test_levels_and_table(spark):
     assert split_sections(df.limit(0)).count() == 0 and cut_level("a\n \nb", 1) == "paragraph"
 
 
+def test_no_finer_cut_than_needed():
+    r = random.Random(6)
+    for _ in range(100):
+        text = "".join(("a" * r.randrange(1, 9) + r.choice([". ", " ", "\n\n"])) for _ in range(120)) + "b" * r.randrange(0, 40)
+        got = split_text(text, 60, 10)
+        units = max(len(u) for u in text.split("\n\n"))
+        if units <= 40:  # each paragraph fits beside the overlap
+            assert all(text[b - 2 : b] == "\n\n" for _, b in got[:-1])
+
+
 def kwargs(x):
     import json
 
