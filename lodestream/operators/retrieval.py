@@ -70,24 +70,26 @@ def interleave(first: DataFrame, second: DataFrame, id_col: str, limit: int) ->
     return one.orderBy("pos").limit(limit).select(id_col, "m.method", "m.rank", F.row_number().over(Window.orderBy("pos")).alias("position"))
 
 
-def budgeted(rows: DataFrame, group: str, cost: Column, tie: list[Column], budget: int, most: int) -> DataFrame:
+def budgeted(rows: DataFrame, group: str, cost: Column, tie: list[Column], budget: int, most: int, flag: Column | None = None, most_flagged: int = 0) -> DataFrame:
     """Rows picked greedily in each group: in the given order, skipping what doesn't fit the rest of the budget.
 
     Of rows of one cost the picked ones are the first: once one doesn't fit, no later one of the
     same cost does. So only the first ``most`` of each cost can matter, and the list that the fold
     walks over is bounded whatever the size of the group. The first row is picked even if it is too
-    large; ``most`` rows at most are picked.
+    large; ``most`` rows at most are picked, of those with ``flag`` at most ``most_flagged`` (a row
+    beyond is skipped for good, so the bound holds by cost and flag).
     """
-    order = Window.partitionBy(group, "_cost").orderBy(*tie)
-    kept = rows.withColumn("_cost", cost.cast("int")).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
+    marked = rows.withColumn("_cost", cost.cast("int")).withColumn("_flag", F.lit(False) if flag is None else F.coalesce(flag, F.lit(False)))
+    order = Window.partitionBy(group, "_cost", "_flag").orderBy(*tie)
+    kept = marked.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
     place = kept.withColumn("_ord", F.row_number().over(Window.partitionBy(group).orderBy(*tie)))
-    lists = place.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_ord", "_cost"))).alias("_list"))
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("picked"))
+    lists = place.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_ord", "_cost", "_flag"))).alias("_list"))
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(0).alias("flagged"), F.array().cast("array<int>").alias("picked"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = (acc["n"] < most) & ((acc["n"] == 0) | (acc["used"] + x["_cost"] <= budget))
-        grown = F.struct((acc["used"] + x["_cost"]).alias("used"), (acc["n"] + 1).alias("n"), F.concat(acc["picked"], F.array(x["_ord"])).alias("picked"))
+        fits = (acc["n"] < most) & ((acc["n"] == 0) | (acc["used"] + x["_cost"] <= budget)) & (~x["_flag"] | (acc["flagged"] < most_flagged))
+        grown = F.struct((acc["used"] + x["_cost"]).alias("used"), (acc["n"] + 1).alias("n"), (acc["flagged"] + x["_flag"].cast("int")).alias("flagged"), F.concat(acc["picked"], F.array(x["_ord"])).alias("picked"))
         return F.when(fits, grown).otherwise(acc)
 
     picked = lists.select(group, F.explode(F.aggregate("_list", start, step)["picked"]).alias("_ord"))
-    return place.join(picked, [group, "_ord"], "left_semi").drop("_k", "_ord", "_cost")
+    return place.join(picked, [group, "_ord"], "left_semi").drop("_k", "_ord", "_cost", "_flag")
