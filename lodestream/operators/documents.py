@@ -12,15 +12,19 @@ CHUNK_PRIORITY = {"results": 0, "discussion": 1, "ablation": 1, "evaluation": 1,
 # ---- end of fixed values ----
 
 
+def inherit(rows: DataFrame, label: str, title: Column, keys: list[str], order: list[str]) -> DataFrame:
+    """rows whose titles name no section ("other") with the label of the last one before with the same first number."""
+    numbered = rows.withColumn("_root", text.number_root(title))
+    own = F.when((F.col(label) != "other") & F.col("_root").isNotNull(), F.struct("_root", F.col(label).alias("_label")))
+    last = numbered.withColumn("_last", F.last(own, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    takes = (F.col(label) == "other") & F.col("_root").isNotNull() & (F.col("_last._root") == F.col("_root"))
+    return last.withColumn(label, F.when(takes, F.col("_last._label")).otherwise(F.col(label))).drop("_root", "_last")
+
+
 def inherited_labels(sections: DataFrame) -> DataFrame:
     """section_id, label: titles that name no section take the label of the last one with the same first number."""
-    label, root = text.section_label(F.col("heading")), text.number_root(F.col("heading"))
-    rows = sections.select("section_id", "paper_id", "start_line", label.alias("label"), root.alias("root"))
-    own = F.when((F.col("label") != "other") & F.col("root").isNotNull(), F.struct("root", "label"))
-    order = Window.partitionBy("paper_id").orderBy("start_line", "section_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = rows.withColumn("last", F.last(own, ignorenulls=True).over(order))
-    takes = (F.col("label") == "other") & F.col("root").isNotNull() & (F.col("last.root") == F.col("root"))
-    return last.select("section_id", F.when(takes, F.col("last.label")).otherwise(F.col("label")).alias("label"))
+    rows = sections.select("section_id", "paper_id", "start_line", "heading", text.section_label(F.col("heading")).alias("label"))
+    return inherit(rows, "label", F.col("heading"), ["paper_id"], ["start_line", "section_id"]).select("section_id", "label")
 
 
 def spans(sections: DataFrame) -> DataFrame:
