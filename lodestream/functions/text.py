@@ -79,27 +79,23 @@ def title_text(c: Column) -> Column:
     return F.lower(F.regexp_replace(t, r"[:.\-]+$", ""))
 
 
+def _either(names: list[str]) -> str:
+    return "(?:" + "|".join(n.replace(".", r"\.") for n in names) + ")"
+
+
 def section_label(c: Column) -> Column:
-    """Canonical section of a title: exact alias, alias at its beginning, noise, then method and result words."""
+    """Canonical section of a title: exact alias, alias at its beginning, noise, then method and result words.
+
+    One pattern a label, so that the expression stays small enough to be compiled.
+    """
     t = title_text(c)
     out = F.when(F.length(t) == 0, F.lit("other"))
     for label, names in SECTION_TITLES.items():
         out = out.when(t.isin(names), F.lit(label))
     for label, names in SECTION_TITLES.items():
-        begins = F.lit(False)
-        for n in names:
-            begins = begins | t.startswith(n + " ") | t.startswith(n + ":")
-        out = out.when(begins, F.lit(label))
-    noise = F.lit(False)
-    for n in NOISE_TITLES:
-        noise = noise | t.startswith(n)
-    out = out.when(noise, F.lit("other"))
-    for label, words in (("methods", METHOD_WORDS), ("results", RESULT_WORDS)):
-        holds = F.lit(False)
-        for w in words:
-            holds = holds | F.contains(t, F.lit(w))
-        out = out.when(holds, F.lit(label))
-    return out.otherwise(F.lit("other"))
+        out = out.when(t.rlike(f"^{_either(names)}[ :]"), F.lit(label))
+    out = out.when(t.rlike(f"^{_either(NOISE_TITLES)}"), F.lit("other"))
+    return out.when(t.rlike(_either(METHOD_WORDS)), F.lit("methods")).when(t.rlike(_either(RESULT_WORDS)), F.lit("results")).otherwise(F.lit("other"))
 
 
 def heading_label(c: Column) -> Column:
@@ -114,9 +110,3 @@ def number_root(c: Column) -> Column:
     """The first number of a numbered title ("2.1 Setup" -> "2"), else null."""
     found = F.regexp_extract(clean(c), r"^(\d+)(?:\.\d+)*\.?\s+", 1)
     return F.when(F.length(found) > 0, found)
-
-
-def palette_index(c: Column, size: int) -> Column:
-    """Sum of the code points of a text, modulo the size of a palette."""
-    codes = F.transform(F.split(F.coalesce(c, F.lit("")), ""), F.ascii)
-    return F.aggregate(codes, F.lit(0), lambda a, x: a + x) % size

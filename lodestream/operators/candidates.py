@@ -61,3 +61,48 @@ def ranked(papers: DataFrame, phrases: list[str], query: list[str], weights: tup
     full = scored.select("cand_id", "source_key", F.round(weights[0] * part("p", "p") + weights[1] * part("c", "c"), 6).alias("score"))
     order = Window.partitionBy("source_key").orderBy(F.desc("score"), "cand_id")
     return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def semantic_text() -> Column:
+    """The text of a paper by which its meaning is compared: title and abstract, each named, on lines of their own."""
+    filled = lambda name, c: F.when(F.length(text.clean(F.col(c))) > 0, F.concat(F.lit(f"{name}: "), text.clean(F.col(c))))
+    return F.concat_ws("\n", filled("Title", "title"), filled("Abstract", "abstract"))
+
+
+def alias(c: Column) -> Column:
+    """A name of a source for look-up: trimmed, white space as one space, lower case (ß as ss)."""
+    return F.replace(F.lower(F.regexp_replace(F.trim(c), r"\s+", " ")), F.lit("ß"), F.lit("ss"))
+
+
+def resolved(rows: DataFrame, name: str, catalog: DataFrame, strict: bool = True) -> DataFrame:
+    """rows with ``alias`` and the source_key of a catalog (alias, source_key); an unknown name is an error if ``strict``, else falls away."""
+    named = rows.withColumn("alias", alias(F.col(name)))
+    both = named.join(catalog.select("alias", "source_key"), "alias", "left" if strict else "inner")
+    return both.withColumn("source_key", F.when(F.col("source_key").isNull(), F.raise_error(F.concat(F.lit("unknown source: "), name)).cast("string")).otherwise(F.col("source_key"))) if strict else both
+
+
+def pdf_urls() -> Column:
+    """The urls of a paper that look like a PDF, in order, each once."""
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.concat(F.coalesce("pdf_urls", none), F.coalesce("crossref_pdf_urls", none)))
+    return F.filter(every, lambda u: F.lower(u).rlike(r"\.pdf$|/pdf|download=true"))
+
+
+def download_queue(papers: DataFrame, most: int) -> DataFrame:
+    """The first open papers of each source that have a PDF, by citations, with the url to try first and their position."""
+    open_papers = papers.where("is_oa").withColumn("urls", pdf_urls()).where(F.size("urls") > 0)
+    order = Window.partitionBy("source_key").orderBy(F.desc(F.coalesce("citation_count", F.lit(0).cast("bigint"))), "cand_id")
+    return open_papers.withColumn("url", F.col("urls")[0]).withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
+
+
+def distinct_phrases(phrases: list[str]) -> list[str]:
+    """Phrases of a search, each once (case folded), in order; blank ones left out."""
+    return list({p.strip().casefold(): p.strip() for p in reversed(phrases) if p.strip()}.values())[::-1]
+
+
+def ranking_context(query: str, keywords: list[str]) -> tuple[list[str], list[str]]:
+    """(tokens, phrases) by which papers are ranked for a query and its keywords."""
+    import re
+
+    phrases = distinct_phrases([query, *keywords])
+    return [t.casefold() for t in re.findall(text.TOKEN_C, " ".join(phrases))], phrases
