@@ -155,7 +155,7 @@ def reasoning(steps: list[str] | None, answer: Any, limit: int = LIMITS["reasoni
 def fields(text: str | None) -> dict[str, str]:
     """The "[name]: value" segments of a model's reply, by lower-case name."""
     marks = list(re.finditer(r"\[([A-Za-z_ ]+)\]\s*:", text or ""))
-    ends = [m.start() for m in marks[1:]] + [len(text or "")]
+    ends = [m.start() for m in marks[1:]] + [len(text or "")] * bool(marks)
     return {m[1].strip().lower(): (text or "")[m.end() : end].strip() for m, end in zip(marks, ends, strict=True)}
 
 

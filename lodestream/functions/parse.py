@@ -26,6 +26,23 @@ def triples(c: Column) -> Column:
     return F.transform(whole, lambda p: F.struct(p[0].alias("subject"), p[1].alias("relation"), p[2].alias("object")))
 
 
+def pairs(c: Column, listed: bool) -> Column:
+    """(key, value) of "- key: value" lines (``listed``) or "key: value" lines, of exactly two parts; blank ones left out."""
+    lines = list_items(c) if listed else F.split(F.coalesce(c, F.lit("")), r"\r\n|[\r\n]")
+    parts = F.transform(lines, lambda x: F.transform(F.split(x, ":"), lambda y: F.trim(y)))
+    whole = F.filter(parts, lambda p: (F.size(p) == 2) & (F.length(p[0]) > 0) & (F.length(p[1]) > 0))
+    return F.transform(whole, lambda p: F.struct(p[0].alias("key"), p[1].alias("value")))
+
+
+def kinds(c: Column) -> Column:
+    """(child, parent) of "x: y", "x isA y" or "x is y" lines, in this order of preference."""
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|[\r\n]"), lambda x: F.regexp_replace(F.trim(x), r"^[-*]\s+", ""))
+    cut = lambda x, sep: F.transform(F.split(x, sep, 2), lambda y: F.trim(y))
+    both = F.transform(lines, lambda x: F.when(F.contains(x, F.lit(":")), cut(x, ":")).when(F.contains(x, F.lit(" isA ")), cut(x, " isA ")).when(F.contains(x, F.lit(" is ")), cut(x, " is ")))
+    whole = F.filter(both, lambda p: (F.size(p) == 2) & (F.length(p[0]) > 0) & (F.length(p[1]) > 0))
+    return F.transform(whole, lambda p: F.struct(p[0].alias("child"), p[1].alias("parent")))
+
+
 def winner(c: Column) -> Column:
     """answer1 or answer2 where exactly one is named the winner, else null."""
     one, two = F.contains(F.lower(c), F.lit("winner=answer1")), F.contains(F.lower(c), F.lit("winner=answer2"))

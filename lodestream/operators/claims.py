@@ -29,23 +29,28 @@ def quote_in(quote: Column, content: Column) -> Column:
 def validated(claims: DataFrame, schema: DataFrame, least: float = 0.65) -> DataFrame:
     """Claims with an array of reasons against each, in fixed order; an empty one means accepted.
 
-    claims: subject, subject_type, relation, object, object_type, confidence. "*" allows any type;
-    an unknown relation is the only schema reason given for a claim.
+    claims: subject, subject_type, relation, object, object_type, confidence. "*" allows any type. A type
+    is known if a relation of the schema allows it; with an unknown relation no reason of domain or range is given.
     """
+    named = schema.select(F.explode(F.concat(F.coalesce("domain_types", F.array().cast("array<string>")), F.coalesce("range_types", F.array().cast("array<string>")))).alias("t"))
+    types = named.agg(F.collect_set("t").alias("_types"))  # as many as the schema names
     rules = schema.select(F.col("relation").alias("rule"), F.col("domain_types"), F.col("range_types"))
-    joined = claims.join(F.broadcast(rules), F.col("relation") == F.col("rule"), "left")
+    joined = claims.join(F.broadcast(rules), F.col("relation") == F.col("rule"), "left").crossJoin(F.broadcast(types))  # one row
+    strange = lambda c: (F.length(F.coalesce(c, F.lit(""))) == 0) | (~F.array_contains("_types", c) & ~F.array_contains("_types", "*"))
     allows = lambda types, t: F.array_contains(types, "*") | F.array_contains(types, t)
     known = F.col("rule").isNotNull()
     blank = (F.length(text.clean(F.col("subject"))) == 0) | (F.length(text.clean(F.col("object"))) == 0)
     reasons = [
         F.when(blank, "missing endpoint"),
+        F.when(strange(F.col("subject_type")), "unknown subject type"),
+        F.when(strange(F.col("object_type")), "unknown object type"),
         F.when(~known, "unknown relation"),
         F.when(known & ~F.coalesce(allows(F.col("domain_types"), F.col("subject_type")), F.lit(False)), "domain mismatch"),
         F.when(known & ~F.coalesce(allows(F.col("range_types"), F.col("object_type")), F.lit(False)), "range mismatch"),
         F.when(F.coalesce("confidence", F.lit(0.0)) < least, "low confidence"),
         F.when(generic_name(F.col("subject"), F.col("subject_type")) | generic_name(F.col("object"), F.col("object_type")), "generic entity"),
     ]
-    return joined.withColumn("errors", F.array_compact(F.array(*reasons))).drop("rule", "domain_types", "range_types")
+    return joined.withColumn("errors", F.array_compact(F.array(*reasons))).drop("rule", "domain_types", "range_types", "_types")
 
 
 def capped(claims: DataFrame, group: str, most: int) -> DataFrame:

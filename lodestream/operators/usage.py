@@ -35,12 +35,19 @@ def per_window(rows: DataFrame, width: str, slide: str | None = None) -> DataFra
     return rows.groupBy(w.alias("w"), "model").agg(F.count(F.lit(1)).alias("records"), F.sum("prompt").alias("prompt")).select(F.col("w.start").alias("start"), "model", "records", "prompt")
 
 
-def sessions(rows: DataFrame, key: str, gap_seconds: int) -> DataFrame:
-    """key, start, n of runs of records no further apart than the gap."""
-    order = Window.partitionBy(key).orderBy("ts", "event_id")
-    fresh = rows.withColumn("new", F.when(F.col("ts").cast("double") - F.lag("ts").over(order).cast("double") <= gap_seconds, 0).otherwise(1))
-    numbered = fresh.withColumn("s", F.sum("new").over(order))
-    return numbered.groupBy(key, "s").agg(F.min("ts").alias("start"), F.count(F.lit(1)).alias("n")).drop("s")
+def sessions(rows: DataFrame, key: str, gap_seconds: int, block_seconds: int = 86_400) -> DataFrame:
+    """key, start, n of runs of records no further apart than the gap.
+
+    A key is cut into blocks of time, so that a hot one spreads: runs are found in each block, then
+    those that touch the ends of blocks are joined. Only one row a run meets in the second window.
+    """
+    cut = rows.withColumn("_b", F.floor(F.col("ts").cast("double") / block_seconds))
+    order = Window.partitionBy(key, "_b").orderBy("ts", "event_id")
+    fresh = cut.withColumn("_new", F.when(F.col("ts").cast("double") - F.lag("ts").over(order).cast("double") <= gap_seconds, 0).otherwise(1)).withColumn("_s", F.sum("_new").over(order))
+    runs = fresh.groupBy(key, "_b", "_s").agg(F.min("ts").alias("start"), F.max("ts").alias("_end"), F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy(key).orderBy("start")
+    joined = runs.withColumn("_new", F.when(F.col("start").cast("double") - F.lag("_end").over(along).cast("double") <= gap_seconds, 0).otherwise(1)).withColumn("_t", F.sum("_new").over(along))
+    return joined.groupBy(key, "_t").agg(F.min("start").alias("start"), F.sum("n").alias("n")).drop("_t")
 
 
 def until_stop(rows: DataFrame, group: str, good: Column, most: int, pool: int, target: int) -> DataFrame:

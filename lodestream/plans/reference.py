@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import parse, scoring, text
-from lodestream.operators import candidates, claims, documents, edges, evaluation, hierarchy, retrieval, usage
+from lodestream.operators import candidates, claims, documents, edges, evaluation, hierarchy, retrieval, terms, usage
 from lodestream.plans import reference_sql
 from lodestream.session import table
 from lodestream.sources import readers, sinks
@@ -178,12 +178,6 @@ def transitive_reduction(spark, d):
     return edges.reduced(_links(spark, d)).withColumnRenamed("grp", "paper_id")
 
 
-@_query
-def majority_parent(spark, d):
-    votes = _links(spark, d).where("child <> parent").groupBy("child", "parent").agg(F.count(F.lit(1)).alias("votes")).where("votes >= 2")
-    return votes.groupBy("child").agg(F.max("parent").alias("parent"), F.count(F.lit(1)).alias("passed"))
-
-
 @_query
 def tree_frontier(spark, d):
     nodes = table(spark, d, "layout_node").select("id", "node_type", F.explode_outer("children").alias("child"))
@@ -256,9 +250,8 @@ def table_rows(spark, d):
 
 @_query
 def term_in_sections(spark, d):
-    terms = table(spark, d, "canon_entity").select(F.lower("canon_name").alias("term"))
-    bodies = table(spark, d, "section_record").select("section_id", F.lower("content").alias("body"))
-    return bodies.join(F.broadcast(terms.limit(5000)), F.contains("body", "term")).groupBy("term").agg(F.count(F.lit(1)).alias("sections"))
+    names = table(spark, d, "canon_entity").select(F.col("canon_name").alias("term"))
+    return terms.containing(table(spark, d, "section_record"), "section_id", "content", names).groupBy("term").agg(F.count(F.lit(1)).alias("sections"))
 
 
 @_query

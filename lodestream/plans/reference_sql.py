@@ -157,7 +157,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT paper_id, seed, child, parent, CAST(min(level) AS INTEGER) AS level FROM walk GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY paper_id, seed, child, parent"),
         "transitive_reduction": f"""WITH RECURSIVE {LINKS}, up AS (SELECT paper_id, child AS node, parent AS above FROM links UNION SELECT u.paper_id, u.node, l.parent FROM up u JOIN links l ON l.paper_id = u.paper_id AND l.child = u.above)
             SELECT paper_id, child, parent FROM links l WHERE NOT EXISTS (SELECT 1 FROM links s JOIN up u ON u.paper_id = s.paper_id AND u.node = s.parent AND u.above = l.parent WHERE s.paper_id = l.paper_id AND s.child = l.child AND s.parent <> l.parent)""",
-        "majority_parent": f"WITH {LINKS}, votes AS (SELECT child, parent, count(*) AS votes FROM links WHERE child <> parent GROUP BY child, parent HAVING count(*) >= 2) SELECT child, max(parent) AS parent, count(*) AS passed FROM votes GROUP BY child",
         "tree_frontier": """WITH RECURSIVE kids AS (SELECT id AS node, unnest(children) AS child FROM layout_node),
             walk AS (SELECT id AS root, id AS node, 0 AS hops FROM layout_node WHERE node_type = 'root' UNION SELECT w.root, k.child, w.hops + 1 FROM walk w JOIN kids k ON k.node = w.node WHERE w.hops < 3)
             SELECT root, node, CAST(min(hops) AS INTEGER) AS hops FROM walk GROUP BY root, node""",
@@ -194,7 +193,8 @@ def oracle_sql() -> dict[str, str]:
         "claim_errors": f"""WITH {EDGES}, c AS (SELECT edge_id, source AS subject, target AS object, relation, confidence,
                 CASE WHEN relation = 'HAS_VALUE' THEN 'MagneticProperty' WHEN starts_with(source, 'Exp ') THEN 'Experiment' WHEN starts_with(source, 'observation') THEN 'Observation' ELSE 'Material' END AS st,
                 CASE WHEN relation = 'USES_METHOD' THEN 'Method' WHEN relation IN ('MEASURES_METRIC', 'HAS_PROPERTY') THEN 'MagneticProperty' WHEN relation = 'HAS_CONDITION' THEN 'Condition' WHEN relation IN ('HAS_VALUE', 'REPORTS_RESULT', 'INDICATES') THEN 'Result' ELSE 'Material' END AS ot FROM edges)
-            SELECT edge_id, concat_ws('; ', CASE WHEN r.relation IS NULL THEN 'unknown relation' END,
+            , types AS (SELECT DISTINCT unnest(list_concat(domain_types, range_types)) AS t FROM relation_schema)
+            SELECT edge_id, concat_ws('; ', CASE WHEN st NOT IN (SELECT t FROM types) AND '*' NOT IN (SELECT t FROM types) THEN 'unknown subject type' END, CASE WHEN ot NOT IN (SELECT t FROM types) AND '*' NOT IN (SELECT t FROM types) THEN 'unknown object type' END, CASE WHEN r.relation IS NULL THEN 'unknown relation' END,
                 CASE WHEN r.relation IS NOT NULL AND NOT (list_contains(domain_types, '*') OR list_contains(domain_types, st)) THEN 'domain mismatch' END,
                 CASE WHEN r.relation IS NOT NULL AND NOT (list_contains(range_types, '*') OR list_contains(range_types, ot)) THEN 'range mismatch' END,
                 CASE WHEN coalesce(confidence, 0) < 0.65 THEN 'low confidence' END, CASE WHEN {is_generic("subject", "st")} OR {is_generic("object", "ot")} THEN 'generic entity' END) AS errors

@@ -26,12 +26,14 @@ def get_spark(app: str = "lodestream", cpus: int | str = "*", shuffle_partitions
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only where neither that
-    setting nor a context folder exists (local tests) a temporary one is made.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only in a local session that
+    names none a temporary one is made; on a cluster that is an error, as executors share no such folder.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestream-"))
     return df.checkpoint(eager=True)
 

@@ -120,15 +120,6 @@ def test_file_sources_and_sinks(spark, tmp_path):
     assert rows(sinks.latest(v, "k", "v")) == [("a", 2, "new"), ("b", 1, "x")]
 
 
-def test_search_source(spark, tmp_path):
-    from lodestream.sources.rest import SearchSource
-
-    (tmp_path / "a__x.jsonl").write_text('{"title": "t", "doi": "d", "year": 2001}\nbad\n')
-    spark.dataSource.register(SearchSource)
-    got = spark.read.format("search").options(folder=str(tmp_path), sources="a,b", terms="x,y").load()
-    assert rows(got) == [("a", "x", "t", "d", 2001)]
-
-
 def test_streams_equal_batches(spark, data, tmp_path):
     from lodestream.streaming import usage as streaming
 
