@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "lodestream", cpus: int | str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -38,6 +39,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A checkpointed table of short rows, marked for broadcast if it has at most ``most`` rows; beyond, joins shuffle it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, schema from the parquet footer."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
