@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.session import checkpoint
+from lodestream.session import checkpoint, parallelism, sized
 
 # ---- fixed values: characters that scanners confuse, (printed, read) ----
 CONFUSIONS = [
@@ -216,11 +216,11 @@ def _sections(sections: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def read_lines(sections: DataFrame, id_col: str = "section_id", text_col: str = "content", longest: int = 64) -> DataFrame:
-    """section_id, signs, words, at of every section with content, from one reading of its text.
+    """section_id, signs, words of every section with content, from one reading of its text.
 
     signs: struct(kind, line, a, b, at) of page numbers, lines that may be running heads, and words
-    cut at a line end; words: the different words and, with ``at`` -1, compounds, ``at``: the line where a word first
-    stands. Runs of over ``longest`` letters are no words.
+    cut at a line end; words: a line for compounds and words of under three letters, then one for each line of the text
+    with the words that stand there first. Runs of over ``longest`` letters are no words.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -232,8 +232,7 @@ def read_lines(sections: DataFrame, id_col: str = "section_id", text_col: str =
                 part = batch.slice(k, 512)
                 signs: list[tuple] = []
                 words: list[str] = []
-                at: list[int] = []
-                ends, stops = [0], [0]
+                ends = [0]
                 for text in part.column(1).to_pylist():
                     lines = lines_of(text)
                     splits = splits_of(lines)
@@ -256,17 +255,17 @@ def read_lines(sections: DataFrame, id_col: str = "section_id", text_col: str =
                                     if "-" in w and len(c := w.strip(_STRIP)) < longest and "-" in c:
                                         first.setdefault(c, -1)
                     signs += [("split", *x) for x in ((n, a, b, no) for n, a, b, no in splits)]
-                    words += first
-                    at += first.values()
+                    by_line: list[list[str]] = [[] for _ in range(len(lines) + 1)]
+                    for w, no in first.items():
+                        by_line[no + 1].append(w)
+                    words.append("\n".join(map(" ".join, by_line)))
                     ends.append(len(signs))
-                    stops.append(len(words))
                 columns = zip(*signs, strict=True) if signs else [[]] * 5
                 struct = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, sign, strict=True)], names=["kind", "line", "a", "b", "at"])
-                stop = pa.array(stops, pa.int32())
-                listed = [part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct), pa.ListArray.from_arrays(stop, pa.array(words, pa.string())), pa.ListArray.from_arrays(stop, pa.array(at, pa.int64()))]
-                yield pa.RecordBatch.from_arrays(listed, names=["section_id", "signs", "words", "at"])
+                listed = [part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct), pa.array(words, pa.string())]
+                yield pa.RecordBatch.from_arrays(listed, names=["section_id", "signs", "words"])
 
-    shape = "section_id bigint, signs array<struct<kind:string,line:bigint,a:string,b:string,at:bigint>>, words array<string>, at array<bigint>"
+    shape = "section_id bigint, signs array<struct<kind:string,line:bigint,a:string,b:string,at:bigint>>, words string"
     return _sections(sections, id_col, text_col).mapInArrow(run, shape)
 
 
@@ -279,7 +278,7 @@ def find_noise(sections: DataFrame, id_col: str = "section_id", text_col: str =
     at least ``least`` and ``ratio`` times as many sections.
     """
     read = checkpoint(read_lines(sections, id_col, text_col))
-    vocab = checkpoint(read.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    vocab = checkpoint(read.select(F.explode(F.split("words", "[ \n]+")).alias("word")).where(F.length("word") > 0).groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     known = vocab.select(F.col("word").alias("fixed"), F.col("df").alias("fixed_df")).where(F.col("fixed_df") >= least)
     signs = read.select("section_id", F.explode("signs").alias("s")).select("section_id", "s.*")
 
@@ -290,7 +289,7 @@ def find_noise(sections: DataFrame, id_col: str = "section_id", text_col: str =
 
     def meant(words: DataFrame) -> DataFrame:
         """word, n, fixed, fixed_df of the words (word, n) that are misread."""
-        tried = words.mapInPandas(undo, "word string, n bigint, fixed string").join(known, "fixed")
+        tried = words.repartition(parallelism(read.sparkSession)).mapInPandas(undo, "word string, n bigint, fixed string").join(known, "fixed")
         return tried.where(F.col("fixed_df") >= ratio * F.col("n"))
 
     # Words cut at a line end: which of joined word and compound does the corpus know better?
@@ -301,8 +300,9 @@ def find_noise(sections: DataFrame, id_col: str = "section_id", text_col: str =
     # Misread words, rare ones of the lines and unknown joined ones alike.
     odd = vocab.where(F.length("word") >= 3).select("word", F.col("df").alias("n")).unionByName(pairs.where("n_joined < n_compound + 2").select(F.col("joined").alias("word"), F.col("n_joined").alias("n")).distinct())
     misread = checkpoint(meant(odd).groupBy("word").agg(F.max_by("fixed", F.struct("fixed_df", "fixed")).alias("fixed")))
-    each = read.select("section_id", F.explode(F.arrays_zip("words", "at")).alias("w")).select("section_id", F.col("w.words").alias("word"), F.col("w.at").alias("line")).where("line >= 0")
-    words = each.join(misread, "word").select("section_id", F.lit("ocr_char").alias("kind"), "line", F.col("word").alias("a"), F.col("fixed").alias("b"), F.lit(-1).cast("bigint").alias("at"))
+    at = read.select("section_id", F.posexplode(F.split("words", "\n")).alias("line", "held")).where("line > 0 and length(held) > 0")
+    each = at.select("section_id", (F.col("line") - 1).cast("bigint").alias("line"), F.explode(F.split("held", " ")).alias("word"))
+    words = each.join(sized(misread), "word").select("section_id", F.lit("ocr_char").alias("kind"), "line", F.col("word").alias("a"), F.col("fixed").alias("b"), F.lit(-1).cast("bigint").alias("at"))
     judged = pairs.join(misread.withColumnRenamed("word", "joined"), "joined", "left")
     cut = (F.col("n_joined") > F.col("n_compound")) | ((F.col("n_compound") == 0) & (F.col("fixed").isNotNull() | ~((F.col("n_a") >= least) & (F.col("n_b") >= least))))
     judged = judged.where(cut & ~F.col("b").isin("and", "or", "to", "und", "et", "y")).select("a", "b", F.coalesce("fixed", "joined").alias("whole"), F.col("fixed").isNotNull().alias("misread"))
