@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.session import checkpoint, parallelism
+from lodestream.session import checkpoint, parallelism, sized
 
 # ---- fixed values: words about form, look-alike letters ----
 #: Words about form, origin or circumstance.
@@ -229,39 +229,44 @@ def map_values(values: DataFrame, entities: DataFrame, least: float = 0.8, many:
     form or circumstance if it stands with at least ``many`` different entries. Null and blank
     values are left out, an empty reference lists nothing.
     """
-    distinct = values.select("value").where(F.length(F.regexp_replace("value", r"(?U)[\s\p{Cf}]+", "")) > 0).distinct()
+    filled = values.select("value").where(F.length(F.regexp_replace("value", r"(?U)[\s\p{Cf}]+", "")) > 0).distinct()
+    # values go by a number from here on, so that no shuffle carries their texts
+    distinct = checkpoint(filled).withColumn("vid", F.monotonically_increasing_id())
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            got = [(v, k, t) for v in df["value"] for k, t in enumerate(variants(v))]
-            yield pd.DataFrame(got, columns=["value", "variant", "tokens"])
+            got = [(i, k, t) for i, v in zip(df["vid"], df["value"], strict=True) for k, t in enumerate(variants(v))]
+            yield pd.DataFrame(got, columns=["vid", "variant", "tokens"])
 
-    cuts = checkpoint(distinct.mapInPandas(cut, "value string, variant int, tokens array<string>"))
+    cuts = checkpoint(distinct.select("vid", "value").mapInPandas(cut, "vid bigint, variant int, tokens array<string>"))
     known = checkpoint(names(entities))
     total = max(1, known.count())
     words = known.select("canon_id", "name", F.explode(F.array_distinct("words")).alias("word"))
     idf = words.groupBy("word").agg((F.lit(1.0) + F.log(F.lit(float(total)) / F.countDistinct("canon_id"))).alias("w"))
-    words = words.join(idf, "word")
-    norms = words.groupBy("canon_id", "name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    tokens = cuts.select("value", "variant", F.explode(F.array_distinct("tokens")).alias("token"))
+    words = checkpoint(words.join(idf, "word"))
+    norms = sized(checkpoint(words.groupBy("canon_id", "name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))))
+    words, idf = sized(words), words.select("word", "w").distinct()
+    tokens = cuts.select("vid", "variant", F.explode(F.array_distinct("tokens")).alias("token"))
     repaired = checkpoint(repair_tokens(tokens.select("token"), idf).join(idf, "word"))
+    weight = sized(checkpoint(repaired.groupBy("token").agg(F.max("w").alias("w"))))
+    repaired = sized(repaired)
     # Words that stand with many entries are circumstance: count the entries of the other tokens.
     one = tokens.join(repaired.where("sim = 1.0").select("token", "word"), "token").join(words.select("word", "canon_id"), "word")
-    beside = tokens.join(repaired.select("token").distinct(), "token", "left_anti").select("value", "token").distinct()
-    loose = beside.join(one.select("value", "canon_id").distinct(), "value").groupBy("token").agg(F.countDistinct("canon_id").alias("n"), F.countDistinct("value").alias("m"))
-    loose = loose.where((F.col("n") >= many) & (F.col("m") >= many)).select("token", F.lit(True).alias("loose"))
+    beside = tokens.join(weight, "token", "left_anti").select("vid", "token").distinct()
+    loose = beside.join(one.select("vid", "canon_id").distinct(), "vid").groupBy("token").agg(F.countDistinct("canon_id").alias("n"), F.countDistinct("vid").alias("m"))
+    loose = sized(checkpoint(loose.where((F.col("n") >= many) & (F.col("m") >= many)).select("token", F.lit(True).alias("loose"))))
     top = 1.0 + F.log(F.lit(float(total)))
-    weighed = tokens.join(repaired.groupBy("token").agg(F.max("w").alias("w")), "token", "left").join(loose, "token", "left")
+    weighed = tokens.join(weight, "token", "left").join(loose, "token", "left")
     form = F.col("w").isNull() & (F.col("loose").isNotNull() | F.col("token").isin(*sorted(FORMS)) | F.col("token").rlike(r"^(\d+|[a-z]|\d+(mg|g|kg|ml|wt|at|nm|mol))$"))
     weighed = weighed.withColumn("w", F.when(form, 0.0).otherwise(F.coalesce("w", top)))
-    sizes = weighed.groupBy("value", "variant").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    sizes = weighed.groupBy("vid", "variant").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     shared = tokens.join(repaired.select("token", "word", "sim"), "token").join(words, "word")
     # a word of a name counts once, for its nearest token
-    dots = shared.groupBy("value", "variant", "canon_id", "name", "word").agg(F.max(F.col("sim") * F.col("w") * F.col("w")).alias("dot"))
-    dots = dots.groupBy("value", "variant", "canon_id", "name").agg(F.sum("dot").alias("dot"))
-    scored = dots.join(norms, ["canon_id", "name"]).join(sizes, ["value", "variant"]).where("size > 0").withColumn("score", F.col("dot") / (F.col("norm") * F.col("size")))
-    ranked = scored.groupBy("value").agg(F.max_by(F.struct("canon_id", "score"), F.struct(F.round("score", 9), -F.col("canon_id"))).alias("best"))
-    found = distinct.join(ranked.select("value", "best.canon_id", "best.score"), "value", "left")
+    dots = shared.groupBy("vid", "variant", "canon_id", "name", "word").agg(F.max(F.col("sim") * F.col("w") * F.col("w")).alias("dot"))
+    dots = dots.groupBy("vid", "variant", "canon_id", "name").agg(F.sum("dot").alias("dot"))
+    scored = dots.join(norms, ["canon_id", "name"]).join(sizes, ["vid", "variant"]).where("size > 0").withColumn("score", F.col("dot") / (F.col("norm") * F.col("size")))
+    ranked = scored.groupBy("vid").agg(F.max_by(F.struct("canon_id", "score"), F.struct(F.round("score", 9), -F.col("canon_id"))).alias("best"))
+    found = distinct.join(ranked.select("vid", "best.canon_id", "best.score"), "vid", "left")
     listed = F.coalesce(F.col("score"), F.lit(0.0)) >= least
     return found.select("value", F.when(listed, F.col("canon_id")).otherwise(F.lit(0).cast("bigint")).alias("canon_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
