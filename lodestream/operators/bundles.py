@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import scoring, text
 from lodestream.operators import retrieval
+from lodestream.session import checkpoint
 
 # ---- fixed values: words that ask for a taxonomy, formats of texts, bounds ----
 TAXONOMY_HINTS = ["category", "categories", "class", "classification", "classify", "concept", "conceptual", "definition", "defined", "hierarchy", "isa", "ontology", "taxonomic", "taxonomy", "type", "types"]
@@ -106,6 +107,8 @@ def candidate_nodes(texts: DataFrame, query: list[str], most: int, vectors: Data
     the nodes with most edges. Each list is cut before it is joined: of a list only the first rows
     of as many different names can matter.
     """
+    texts = checkpoint(texts)
+
     def ranked(df: DataFrame, name: str, order: list, shift: int) -> DataFrame:
         named = df.where("score > 0").withColumn("key", F.lower("node"))
         kept = named.withColumn("j", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where("j = 1")
@@ -117,7 +120,7 @@ def candidate_nodes(texts: DataFrame, query: list[str], most: int, vectors: Data
     if vectors is not None:
         lists = lists.unionByName(ranked(vectors, "embedding", [F.desc("score"), "node"], 0))
     one = lists.withColumn("j", F.row_number().over(Window.partitionBy("key").orderBy("pos"))).where("j = 1").orderBy("pos").limit(most)
-    found = one.select("node", "method", "score", F.row_number().over(Window.orderBy("pos")).alias("place"))
+    found = checkpoint(one.select("node", "method", "score", F.row_number().over(Window.orderBy("pos")).alias("place")))
     if found.isEmpty():
         top = texts.orderBy(F.desc("incident"), "node").limit(most)
         return top.select("node", F.lit("degree_fallback").alias("method"), F.col("incident").cast("double").alias("score"), F.row_number().over(Window.orderBy(F.desc("incident"), "node")).alias("place"))

@@ -70,14 +70,14 @@ def taxonomy_quota(spark, d):
     UNION ALL SELECT node, CAST(place AS INTEGER), 'taxonomy', CAST(row_number() OVER (PARTITION BY node ORDER BY level, child, k, link) AS INTEGER), link, NULL FROM once""")
 def node_bundle_retrieval(spark, d):
     e = checkpoint(_distinct(spark, d))
-    nodes = checkpoint(bundles.candidate_nodes(bundles.node_texts(e), TOKENS, 6))
+    nodes = bundles.candidate_nodes(bundles.node_texts(e), TOKENS, 6)
     return bundles.node_bundles(e, nodes, TOKENS)
 
 
 @query()
 def bundle_context(spark, d):
     e = checkpoint(_distinct(spark, d))
-    nodes = checkpoint(bundles.candidate_nodes(bundles.node_texts(e), TOKENS, 6))
+    nodes = bundles.candidate_nodes(bundles.node_texts(e), TOKENS, 6)
     rows = bundles.node_bundles(e, nodes, TOKENS).withColumn("question_id", F.lit(1))
     return bundles.bundle_context(rows, e.select("edge_id", bundles.edge_cost().alias("cost")), 6000)
 

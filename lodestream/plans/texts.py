@@ -81,3 +81,12 @@ def category_text(spark, d):
     c = table(spark, d, "canon_entity")
     pairs = c.select("entity_type", "canon_id", F.col("canon_name").alias("category"), F.posexplode_outer("synonyms").alias("k", "subcategory"))
     return terms.category_text(pairs.withColumn("ord", F.col("canon_id") * 1000 + F.coalesce("k", F.lit(0))), ["entity_type"])
+
+
+@query("""WITH f AS (SELECT record_id, list_transform(coalesce(columns, []), lambda c, i: CASE WHEN trim(coalesce(c, '')) = '' THEN 'Column ' || i ELSE trim(c) END) AS f FROM table_record)
+    SELECT record_id, array_to_string(list_transform(f, lambda c, i: CASE WHEN len(list_filter(f[1:i - 1], lambda p: p = c)) > 0 THEN c || ' ' || (len(list_filter(f[1:i - 1], lambda p: p = c)) + 1) ELSE c END), '|') AS names FROM f""")
+def unique_columns(spark, d):
+    from lodestream.operators import documents
+
+    t = table(spark, d, "table_record")
+    return t.select("record_id", F.array_join(documents.unique_names(F.coalesce("columns", F.array().cast("array<string>"))), "|").alias("names"))

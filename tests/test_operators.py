@@ -180,3 +180,20 @@ def test_labels_are_a_fixed_point():
         for (a, b), x in w.items():
             votes[a][label[b]] = votes[a].get(label[b], 0) + x
         assert all(label[n] == min(v, key=lambda k, v=v: (-v[k], k)) for n, v in votes.items())
+
+
+def test_first_of_each_on_a_stream(spark, tmp_path):
+    from lodestream.streaming import usage as streaming
+
+    (tmp_path / "in").mkdir()
+    lines = [{"event_id": k, "ts": f"2024-01-01T00:00:0{k}", "event_type": t, "value": 1.0, "props": "{}"} for k, t in enumerate("aabab")]
+    (tmp_path / "in" / "x.json").write_text("\n".join(map(json.dumps, lines)))
+    stream = streaming.first_of_each(streaming.records(spark, str(tmp_path / "in")), "model", "1 day")
+    q = stream.writeStream.format("memory").queryName("firsts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(120)
+    assert sorted(r.model for r in spark.table("firsts").collect()) == ["a", "b"]
+
+
+def test_column_names(spark):
+    df = spark.createDataFrame([(["a", "", "a", None, "a"],)], "c array<string>")
+    assert list(df.select(documents.unique_names(F.col("c"))).first()[0]) == ["a", "Column 2", "a 2", "Column 4", "a 3"]
