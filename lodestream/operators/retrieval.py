@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import scoring, text
-from lodestream.session import spread
+from lodestream.session import checkpoint, spread
 
 
 def _frequency(token: str) -> Column:
@@ -17,14 +18,15 @@ def _frequency(token: str) -> Column:
 
 
 def bm25(docs: DataFrame, id_col: str, content: Column, query: list[str]) -> DataFrame:
-    """id and BM25 score of every row for the tokens of a query; one pass for the statistics, one for the scores.
+    """id and BM25 score of every row for the tokens of a query; texts are read once.
 
     Only the frequencies of the query's tokens are counted, per row with built-in functions, so
-    nothing is exploded or shuffled but one row of sums a task. Repeated query tokens count
-    repeatedly; an empty query scores 0 everywhere.
+    nothing is exploded or shuffled but one row of sums a task; statistics and scores come from these
+    counts. Repeated query tokens count repeatedly; an empty query scores 0 everywhere.
     """
     terms = Counter(query)
     held = spread(docs.select(F.col(id_col), content.alias("body"))).select(F.col(id_col), text.tokens_a(F.col("body")).alias("toks")).select(id_col, F.size("toks").alias("len"), *(_frequency(q).alias(f"tf{k}") for k, q in enumerate(terms)))
+    held = checkpoint(held)
     sums = held.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *(F.sum((F.col(f"tf{k}") > 0).cast("int")).alias(f"df{k}") for k in range(len(terms)))).first()
     score = F.lit(0.0)
     for k, times in enumerate(terms.values()):
@@ -35,18 +37,19 @@ def bm25(docs: DataFrame, id_col: str, content: Column, query: list[str]) -> Dat
 def bm25_okapi(docs: DataFrame, id_col: str, content: Column, query: list[str]) -> DataFrame:
     """id and score by the Okapi variant: idf = ln(N - df + .5) - ln(df + .5), negative ones a quarter of the mean idf."""
     rows = spread(docs.select(F.col(id_col), content.alias("body"))).select(F.col(id_col), text.tokens_c(F.col("body")).alias("toks")).withColumn("toks", F.when(F.size("toks") == 0, F.array(F.lit("_empty_"))).otherwise(F.col("toks")))
+    terms = Counter(query)
+    held = checkpoint(rows.select(id_col, F.size("toks").alias("len"), *(_frequency(q).alias(f"tf{k}") for k, q in enumerate(terms))))
+    sums = held.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *(F.sum((F.col(f"tf{k}") > 0).cast("int")).alias(f"df{k}") for k in range(len(terms)))).first()
+    n, mean = sums["n"] or 0, sums["mean"] or 1.0
     df = rows.select(F.explode(F.array_distinct("toks")).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    n, mean = rows.agg(F.count(F.lit(1)), F.avg(F.size("toks"))).first()
-    idf = F.log(F.lit(float(n or 0)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    floor = 0.25 * (df.agg(F.avg(idf)).first()[0] or 0.0)
-    found = {r["tok"]: r["idf"] for r in df.where(F.col("tok").isin(*set(query))).select("tok", idf.alias("idf")).collect()} if query else {}
+    floor = 0.25 * (df.agg(F.avg(F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0] or 0.0)
     score = F.lit(0.0)
-    for q, times in Counter(query).items():
-        if q in found:
-            weight = floor if found[q] < 0 else found[q]
-            tf = _frequency(q)
-            score = score + times * weight * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * F.size("toks") / F.lit(float(mean))))
-    return rows.select(id_col, score.alias("score"))
+    for k, times in enumerate(terms.values()):
+        if held_by := sums[f"df{k}"]:
+            idf = math.log(n - held_by + 0.5) - math.log(held_by + 0.5)
+            tf = F.col(f"tf{k}")
+            score = score + times * (floor if idf < 0 else idf) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * F.col("len") / F.lit(float(mean))))
+    return held.select(id_col, score.alias("score"))
 
 
 def top(scored: DataFrame, id_col: str, limit: int) -> DataFrame:
