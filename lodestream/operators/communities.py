@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -36,26 +36,34 @@ def split_community(links: list[tuple[str, str, float]], nodes: list[str], most:
     Neighbours are taken by weight, then name; of equally strong nodes the one of most neighbours,
     then of the last name, begins a part.
     """
-    near: dict[str, dict[str, float]] = {n: {} for n in nodes}
-    for a, b, w in links:
-        if a in near and b in near:
-            near[a][b] = near[a].get(b, 0.0) + w
-    left, part = set(nodes), {}
-    if len(left) <= most:
+    if len(nodes) <= most:
         return dict.fromkeys(nodes, min(nodes)) if nodes else {}
-    while left:
-        seed = max(left, key=lambda n: (sum(w for m, w in near[n].items() if m in left), len(near[n]), n.lower(), n))
-        size, queue, queued = 0, deque([seed]), {seed}
-        while queue and size < most:
-            n = queue.popleft()
+    known = set(nodes)
+    table = pd.DataFrame([x for x in links if x[0] in known and x[1] in known], columns=["a", "b", "w"]).groupby(["a", "b"], as_index=False, sort=False)["w"].sum()
+    # the neighbours of a node in the order in which they are taken
+    table = table.assign(low=table["b"].str.lower()).sort_values(["w", "low", "b"], ascending=[False, True, True], kind="stable")
+    near: dict[str, list[tuple[str, float]]] = {a: list(zip(g["b"], g["w"], strict=True)) for a, g in table.groupby("a", sort=False)}
+    free = set(nodes)
+    strength = {n: math.fsum(w for _, w in near.get(n, ())) for n in nodes}
+    part: dict[str, str] = {}
+    while free:
+        seed = max(free, key=lambda n: (strength[n], len(near.get(n, ())), n.lower(), n))
+        line = [seed]  # nodes in the order in which they come up; all before ``at`` are taken
+        met = {seed}
+        at = 0
+        while at < min(len(line), most):
+            n = line[at]
+            at += 1
+            free.discard(n)
             part[n] = seed
-            left.discard(n)
-            size += 1
-            for m in sorted((m for m in near[n] if m in left and m not in queued), key=lambda m: (-near[n][m], m.lower(), m)):
-                queue.append(m)
-                queued.add(m)
-                if len(queue) + size >= 2 * most:
-                    break
+            room = max(1, 2 * most - len(line))
+            fresh = [m for m, _ in near.get(n, ()) if m in free and m not in met][:room]
+            line += fresh
+            met.update(fresh)
+        for n in line[:at]:  # who is left loses a neighbour
+            for m, _ in near.get(n, ()):
+                if m in free:
+                    strength[m] = math.fsum(w for k, w in near[m] if k in free)
     return part
 
 
