@@ -122,6 +122,8 @@ class Line:
         self.count = number_of(s) if self.page else None
         if self.blank or self.page or len(s) > longest + 2:
             return
+        if s[0].islower() and _SMALL.search(s):  # neither in capitals nor begun with one
+            return
         s = re.sub(r"\s+\.$", "", s)
         if len(s) > longest or "=" in s or (_LIST.match(s) and not _LEAD.match(s)):
             return
