@@ -1,9 +1,10 @@
+import hashlib
 import random
 
 from conftest import rows
 from pyspark.sql import functions as F
 
-from lodestream.operators import bundles, communities, retrieval, taxonomy, terms
+from lodestream.operators import bundles, communities, edges, retrieval, taxonomy, terms
 
 
 def test_budget_with_a_quota(spark):
@@ -126,3 +127,11 @@ def test_chunks_categories_and_terms(spark):
     assert terms.occurrences(docs, "i", "t", words, bounded=False).count() == 4 and terms.occurrences(docs, "i", "t", words.limit(0)).count() == 0
     acr = spark.createDataFrame([("XRD", "X-ray diffraction"), ("", None)], "acronym string, meaning string")
     assert terms.stated_acronyms(acr, F.lit("By XRD (x-ray diffraction)")).count() == 1
+
+
+def test_fingerprint_beyond_a_bigint(spark):
+    df = spark.range(150_000).select(F.lit("A").alias("source"), F.lit("R").alias("relation"), F.col("id").cast("string").alias("target"), F.lit(None).cast("string").alias("evidence_quote"), F.when(F.col("id") > 9, "p").alias("paper_id"))
+    part = lambda k, paper: int(hashlib.sha256(f"a|r|{k}||{paper}".encode()).hexdigest()[:12], 16)
+    none, p = sum(part(k, "") for k in range(10)), sum(part(k, "p") for k in range(10, 150_000))
+    assert p >= 1 << 63 and none < 1 << 63
+    assert rows(edges.fingerprint(df)) == sorted([(None, 10, none), ("p", 149_990, (p + (1 << 63)) % (1 << 64) - (1 << 63))], key=repr)
