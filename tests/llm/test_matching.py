@@ -1,7 +1,10 @@
 import itertools
+import os
 import random
+import time
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from lodestream.llm import canon, linkage
 from lodestream.llm.queries import oracle_sql, queries
@@ -78,6 +81,27 @@ def test_copies_and_hot_blocks(spark):
     assert {(a, b) for a, b in got if b < 100} == {(a, b) for a, b in itertools.combinations(range(40), 2) if (a + b) % 2}
 
 
+def test_linkage_leaves_no_files(spark):
+    from lodestream.session import checkpoint, settled
+
+    checkpoint(spark.range(1))
+    jvm, folder = spark.sparkContext._jvm, spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    shuffles = lambda: {f.getName() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, held = shuffles(), set(os.listdir(folder))
+    one = settled(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert len(set(os.listdir(folder)) - held) == 1
+    two = settled(one.where("k < 3"), one)
+    assert two.count() == 3 and len(set(os.listdir(folder)) - held) == 1
+    until = time.time() + 20
+    while (left := shuffles() - before) and len({f.split("_")[1] for f in left}) > 1 and time.time() < until:
+        time.sleep(0.2)
+    assert len({f.split("_")[1] for f in left}) <= 1  # that of count()
+    held = set(os.listdir(folder))
+    data = [paper(k, "ab"[k % 2], doi="10.9/hot.1") for k in range(40)]
+    members, links = linkage.match_nodes(spark.createDataFrame(data, PAPER))
+    assert len(set(os.listdir(folder)) - held) <= 3 and linkage.matched_pairs(members, links).count() == 400
+
+
 def test_large_blocks_are_split_or_compared_whole(spark):
     shape = "node bigint, words array<string>, cut boolean, main int, names array<string>, doi string"
     word = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
